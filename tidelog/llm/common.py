@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: A document's reference is chunk_id << REF_BITS | its place in the chunk.
+REF_BITS = 20
 NULL_ID = np.iinfo(np.int64).min
 CHUNK_SCHEMA = "chunk_id long, ids binary, lens binary, body binary, rest binary"
 BLOCK_SCHEMA = "bucket int, chunk_id long, payload binary"
@@ -91,12 +93,13 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             while at < len(ids):
                 base = ends[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
+                to = min(to, at + (1 << REF_BITS))
                 body = b"\n".join(bodies[at:to].to_pylist()) + b"\n"
                 rest = pa.BufferOutputStream()
                 with pa.ipc.new_stream(rest, carried.schema) as out:
                     out.write_table(carried.slice(at, to - at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) | k]), pa.array([ids[at:to].tobytes()]),
+                    [pa.array([(part << REF_BITS) | k]), pa.array([ids[at:to].tobytes()]),
                      pa.array([lens[at:to].tobytes()]), pa.array([body], pa.binary()),
                      pa.array([rest.getvalue().to_pybytes()], pa.binary())],
                     names=["chunk_id", "ids", "lens", "body", "rest"])
