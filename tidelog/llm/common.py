@@ -74,6 +74,29 @@ def written_by(df: DataFrame, key: str) -> DataFrame:
 
 # -- chunks ----------------------------------------------------------------
 
+def cut(batches, chunk_bytes: int = CHUNK_BYTES):
+    """Batches of (id, text, more columns) as pieces: ids, lengths, joined texts, the other columns."""
+    for batch in batches:
+        ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        bodies = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+        lens = np.diff(np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)) if len(ids) else ids
+        ends = np.cumsum(lens)
+        carried = pa.Table.from_batches([batch]).select(list(range(2, batch.num_columns)))
+        at = 0
+        while at < len(ids):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
+            to = min(to, at + (1 << REF_BITS))
+            yield ids[at:to], lens[at:to], b"\n".join(bodies[at:to].to_pylist()) + b"\n", carried.slice(at, to - at)
+            at = to
+
+
+def pieces(batches, chunk_bytes: int = CHUNK_BYTES):
+    """Chunks of a task's own batches, for operators that need no exchange."""
+    for ids, lens, body, carried in cut(batches, chunk_bytes):
+        yield Chunk(0, ids.tobytes(), lens.tobytes(), body, b""), carried
+
+
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             chunk_bytes: int = CHUNK_BYTES, carry: tuple = ()) -> DataFrame:
     """Pack documents into chunks of about ``chunk_bytes``; a null text is empty.
@@ -82,28 +105,15 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            bodies = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            lens = np.diff(np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8))
-            ends = np.cumsum(lens)
-            carried = pa.Table.from_batches([batch]).select(list(range(2, batch.num_columns)))
-            at = 0
-            while at < len(ids):
-                base = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
-                to = min(to, at + (1 << REF_BITS))
-                body = b"\n".join(bodies[at:to].to_pylist()) + b"\n"
-                rest = pa.BufferOutputStream()
-                with pa.ipc.new_stream(rest, carried.schema) as out:
-                    out.write_table(carried.slice(at, to - at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << REF_BITS) | k]), pa.array([ids[at:to].tobytes()]),
-                     pa.array([lens[at:to].tobytes()]), pa.array([body], pa.binary()),
-                     pa.array([rest.getvalue().to_pybytes()], pa.binary())],
-                    names=["chunk_id", "ids", "lens", "body", "rest"])
-                k, at = k + 1, to
+        part = TaskContext.get().partitionId()
+        for k, (ids, lens, body, carried) in enumerate(cut(batches, chunk_bytes)):
+            rest = pa.BufferOutputStream()
+            with pa.ipc.new_stream(rest, carried.schema) as out:
+                out.write_table(carried)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << REF_BITS) | k]), pa.array([ids.tobytes()]), pa.array([lens.tobytes()]),
+                 pa.array([body], pa.binary()), pa.array([rest.getvalue().to_pybytes()], pa.binary())],
+                names=["chunk_id", "ids", "lens", "body", "rest"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("a"), docs[text_col].cast("string").alias("b"),
                          *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
