@@ -13,8 +13,10 @@ text; special tokens inside a text are encoded as such, as the library does.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 _SHORT = 48
-_CACHE = 150_000
+_CACHE = 400_000
+_SLOTS = 1 << 20
 _SLICE = 2 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(
@@ -48,23 +51,46 @@ class Vocabulary:
         self.token = {i: bytes(byte[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: s.encode() for s, i in self.special.items()}
-        self.first = np.zeros(256, np.int64)
+        self.first = np.zeros(256, np.int32)
         for c, b in byte.items():
             self.first[b] = vocab[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.ranks = order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
+        self._hash(key)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)  # by rank
         self.none = len(pairs)
         self.cache: dict[str, list[int]] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def _hash(self, keys: np.ndarray) -> None:
+        """An open-addressing table of pair -> rank, for lookups of whole arrays."""
+        self.keys, self.ranks = np.full(_SLOTS + 64, -1, np.int64), np.full(_SLOTS + 64, len(keys), np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # whoever is first in a free slot stays, the others move on
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]
+            placed = free & (self.keys[at] == keys[left])
+            self.ranks[at[placed]] = left[placed]
+            left, at = left[~placed], at[~placed] + 1
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << 20) | right
-        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
+        """Ranks of adjacent parts; ``none`` where they do not merge (or a part is -1)."""
+        key = (left.astype(np.int64) << 20) | right
+        at = self._slot(key)
+        got = self.keys[at]
+        missed = np.nonzero((got != key) & (got != -1))
+        out = np.where(got == key, self.ranks[at], self.none)
+        while len(missed[0]):
+            at[missed] += 1
+            got = self.keys[at[missed]]
+            out[missed] = np.where(got == key[missed], self.ranks[at[missed]], self.none)
+            go = (got != key[missed]) & (got != -1)
+            missed = tuple(m[go] for m in missed)
+        return out
 
     def _short(self, words: list[bytes]) -> list[list[int]]:
         """Merge words side by side: a row of parts and a row of adjacent ranks each."""
@@ -73,7 +99,7 @@ class Vocabulary:
         lens = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(n, size)
         parts = np.where(np.arange(size) < lens[:, None], self.first[raw], -1)
-        parts = np.concatenate([parts, np.full((n, 1), -1, np.int64)], 1)
+        parts = np.concatenate([parts, np.full((n, 1), -1, np.int32)], 1)
         rank = self.rank(parts[:, :-1], parts[:, 1:])
         done: list = [None] * n
         rows = np.arange(n)
@@ -134,8 +160,7 @@ class Vocabulary:
         """Encode the pieces that are not in the cache."""
         new = [(w, w.encode()) for w in pieces if w not in self.cache]
         if len(self.cache) + len(new) > _CACHE:
-            self.cache.clear()
-            new = [(w, w.encode()) for w in pieces]
+            self.cache = {w: self.cache[w] for w in pieces if w in self.cache}
         new.sort(key=lambda x: len(x[1]))
         short = [x for x in new if len(x[1]) <= _SHORT]
         for at in range(0, len(short), 4096):
@@ -162,7 +187,7 @@ class Vocabulary:
         self.learn(seen)
         self.cache.update({s: [i] for s, i in self.special.items()})
         get = self.cache.__getitem__
-        return [[i for p in own for i in get(p)] for own in pieces]
+        return [list(chain.from_iterable(map(get, own))) for own in pieces]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
@@ -185,6 +210,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         vocab = vocabulary(path)
+        gc.disable()  # nothing here is cyclic, and each sweep would walk the whole cache
         for batch in batches:
             lens = np.frombuffer(batch.column(1).cast(pa.large_string()).fill_null("").buffers()[1], np.int64,
                                  batch.num_rows + 1) if batch.num_rows else np.zeros(1, np.int64)
@@ -193,7 +219,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 to = max(at + 1, int(np.searchsorted(lens, lens[at] + _SLICE, "right")) - 1)
                 some = batch.slice(at, to - at)
                 ids = vocab.encode_batch([t or "" for t in some.column(1).to_pylist()])
-                flat = np.fromiter((i for own in ids for i in own), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.ListArray.from_arrays(ends, flat), pa.array([vocab.decode(own) for own in ids], pa.string())],
