@@ -10,14 +10,15 @@ link when |A ∩ B| / |A ∪ B| >= percent / 100.  Steps:
    Linked sets differ in at most d blocks, so by the pigeonhole principle they
    share a block value: the join key is (band, block, value).  Empty blocks are
    left out as long as a set has fewer of them than blocks that must agree.
-3. Groups of a key with few members give all their pairs.  In larger ones every
-   member is paired with a hub (the class with most copies), first in its chunk
-   and then across chunks, so pairs grow with members and not with their square.
-4. Pairs are verified: the Hamming distance of parity bit sketches, a lower bound
-   of the symmetric difference, rejects most; exact intersections decide.
-5. Links give components.  In larger groups that hold more than one component,
-   all pairs of members from different components are verified as well, so no
-   link between components is lost; links inside one would change nothing.
+3. Groups of a key with few members give all their pairs, which are verified:
+   the Hamming distance of parity bit sketches, a lower bound of the symmetric
+   difference, rejects most; exact intersections decide.
+4. In larger groups every member meets one hub (the class with most copies).
+   Members that link with the hub are one component.  For the others the
+   difference from the hub is kept: |x Δ y| = |(x Δ hub) Δ (y Δ hub)|, so an
+   inverted index over these small differences finds, exactly, whether two
+   members link, without a row per pair of members.
+5. Links give components.
 
 Defined results: a null, empty or blank text has an empty set, links with
 nothing and is its own component; fewer words than n make one n-gram of all;
@@ -130,13 +131,10 @@ class _Local:
                         np.bincount(self.member, minlength=int(new.sum())).astype(np.uint32))
 
 
-def _pairs(group: np.ndarray, hub_first: np.ndarray, whole: np.ndarray, all_pairs: int):
-    """Index pairs within groups (sorted, hub first): all pairs of whole groups, else hub and member."""
+def _pairs(group: np.ndarray, whole: np.ndarray, all_pairs: int):
+    """Index pairs within the whole groups (sorted by group)."""
     n = len(group)
-    left, right = [], []
-    rest = np.flatnonzero(~whole[group] & (hub_first[group] != np.arange(n)))
-    left.append(hub_first[group[rest]])
-    right.append(rest)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(1, all_pairs):
         i = np.arange(n - k) if n > k else np.zeros(0, np.int64)
         i = i[(group[i] == group[i + k]) & whole[group[i]]]
@@ -158,8 +156,11 @@ def _pair_table(a, b):
     return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+VERIFIED = "a long, b long, doc_a long, doc_b long, link boolean, size_a long, size_b long, difference binary"
+
+
 def verify(chunks: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs of references those whose sets link: a, b, doc_a, doc_b."""
+    """Pairs of references whose sets link; of hub pairs (b negative: -1 - b) all, with their difference."""
     bands = Bands(percent)
     low = (1 << C.REF_BITS) - 1
     asked = pairs.distinct().withColumn("chunk_id", F.shiftright("a", C.REF_BITS))
@@ -169,7 +170,7 @@ def verify(chunks: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
         a, b = (want.column(c).to_numpy() for c in ("a", "b"))
         if len(a):
             sets = shingle_sets(chunk, n, np.unique(a & low).tolist())
-        to = b >> C.REF_BITS
+        to = np.where(b < 0, -1 - b, b) >> C.REF_BITS
         ids, rows = np.unique(to), []
         for t in ids:
             mine = np.flatnonzero(to == t)
@@ -183,41 +184,99 @@ def verify(chunks: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
         return np.packbits(np.bincount((s & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH).astype(np.uint8) & 1)
 
     def judge(chunk: C.Chunk, lent: pa.Table) -> pa.Table:
-        out = []
-        payloads = lent.column("payload")
+        out, differences = [], []
         if lent.num_rows:
-            got = [C.unpack(x.as_py()) for x in payloads]
-            mine = shingle_sets(chunk, n, sorted({i for g in got for i in (g[1] & low).tolist()}))
+            got = [C.unpack(x.as_py()) for x in lent.column("payload")]
+            places = [(np.where(g[1] < 0, -1 - g[1], g[1]) & low).tolist() for g in got]
+            mine = shingle_sets(chunk, n, sorted({i for own in places for i in own}))
             bits: dict[int, np.ndarray] = {}
-            for a, b, which, sizes, flat, doc_a in got:
+            for (a, b, which, sizes, flat, doc_a), place in zip(got, places):
                 cut = np.cumsum([0, *sizes.tolist()])
                 other = [flat[cut[i]:cut[i + 1]] for i in range(len(sizes))]
                 other_bits = [sketch(s) for s in other]
-                for i, (w, place) in enumerate(zip(which.tolist(), (b & low).tolist())):
-                    s, t = other[w], mine[place]
-                    if not _compatible(len(s), len(t), percent):
+                for i, (w, at) in enumerate(zip(which.tolist(), place)):
+                    s, t = other[w], mine[at]
+                    hub, total = b[i] < 0, len(s) + len(t)
+                    if at not in bits:
+                        bits[at] = sketch(t)
+                    apart = int(np.bitwise_count(other_bits[w] ^ bits[at]).sum()) > bands.difference(total)
+                    if not hub and apart:
                         continue
-                    if place not in bits:
-                        bits[place] = sketch(t)
-                    total = len(s) + len(t)
-                    if int(np.bitwise_count(other_bits[w] ^ bits[place]).sum()) > bands.difference(total):
-                        continue
-                    if len(s) > len(t):
-                        s, t = t, s
-                    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                    if common * 100 >= (total - common) * percent:
-                        out.append((a[i], b[i], doc_a[i], chunk.ids[place]))
+                    short, long = (s, t) if len(s) <= len(t) else (t, s)
+                    common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                    link = common * 100 >= (total - common) * percent
+                    if link or hub:
+                        ref = -1 - b[i] if hub else b[i]
+                        out.append((a[i], ref, doc_a[i], chunk.ids[at], link and a[i] != ref, len(s), len(t)))
+                        differences.append(np.setxor1d(s, t, assume_unique=True).tobytes() if hub else None)
+        columns = np.array(out, np.int64).reshape(len(out), 7).T
+        return pa.table([*(pa.array(c) for c in columns[:4]), pa.array(columns[4].astype(bool)), pa.array(columns[5]),
+                         pa.array(columns[6]), pa.array(differences, pa.binary())],
+                        names=[x.split()[0] for x in VERIFIED.split(", ")])
+
+    sent = C.with_answers(chunks, asked, lend, "chunk_id long, payload binary")
+    return C.written(C.with_answers(chunks, sent, judge, VERIFIED))
+
+
+def _through_hubs(spread: DataFrame, percent: int, block: int = 20_000) -> DataFrame:
+    """Links among members of a hub, found from their differences from it.
+
+    A hub with more than ``block`` members is dealt to pairs of blocks.  Within a
+    task only links that join components are returned, so rows stay linear.
+    """
+
+    def resolve(table: pa.Table) -> pa.Table:
+        b, doc, size, link = (table.column(c).to_numpy(zero_copy_only=False) for c in ("b", "doc_b", "size_b", "link"))
+        hub = table.column("a")[0].as_py()
+        link = link | (b == hub)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("difference")]
+        out = []
+        apart = np.flatnonzero(~link)
+        if len(apart):
+            lens = np.array([len(x) for x in sets], np.int64)
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lens)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            parent = np.arange(len(sets))
+            if link.any():
+                parent[link] = np.flatnonzero(link)[0]
+
+            def root(i):
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for x in apart.tolist():
+                lo, hi = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
+                width = hi - lo
+                near = owner[np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())]
+                shared = np.bincount(near, minlength=len(sets))
+                apart_by = lens[x] + lens - 2 * shared
+                total = size[x] + size
+                # |A ∩ B| = (|A| + |B| - |A Δ B|) / 2
+                ok = (total - apart_by) * 100 >= (total + apart_by) * percent
+                ok[x] = False
+                for y in np.flatnonzero(ok).tolist():
+                    rx, ry = root(x), root(y)
+                    if rx != ry:
+                        parent[rx] = ry
+                        out.append((b[x], b[y], doc[x], doc[y]))
         columns = np.array(out, np.int64).reshape(len(out), 4).T
         return pa.table([pa.array(c) for c in columns], names=["a", "b", "doc_a", "doc_b"])
 
-    sent = C.with_answers(chunks, asked, lend, "chunk_id long, payload binary")
-    return C.written(C.with_answers(chunks, sent, judge, "a long, b long, doc_a long, doc_b long"))
+    mixed = spread.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.bool_and(F.expr("link or a = b")).alias("all_linked"))
+    rows = spread.join(mixed.where("not all_linked").select("a", "blocks"), "a")
+    mine = F.pmod(F.xxhash64("b"), F.col("blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least(mine, "other")).withColumn("j", F.greatest(mine, "other"))
+    return (rows.groupBy("a", "i", "j").applyInArrow(resolve, "a long, b long, doc_a long, doc_b long"))
 
 
 class Join:
     """The self-join of ``docs``: run once, then read as classes or as kept documents.
 
-    Groups of a key with more than ``all_pairs`` members go through a hub first.
+    Groups of a key with more than ``all_pairs`` members go through a hub.
     """
 
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -230,20 +289,30 @@ class Join:
 
         def prints(batches):
             for chunk in C.chunks_of(batches):
-                yield C.blocks(chunk.id, nb, *_Local(chunk, n).columns)
+                local = _Local(chunk, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk.id]), pa.array([C.pack(chunk.ids, local.size, local.full, local.member, *local.columns)], pa.binary())],
+                    names=["chunk_id", "payload"])
 
-        self.classes = C.written(C.reduced(self.chunks.mapInArrow(prints, C.BLOCK_SCHEMA), _classes))
+        def to_buckets(batches):
+            for batch in batches:
+                for chunk_id, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield C.blocks(chunk_id, nb, *C.unpack(payload.as_py())[4:])
+
+        self.local = C.written_by(self.chunks.mapInArrow(prints, "chunk_id long, payload binary"), "chunk_id")
+        self.classes = C.written(C.reduced(self.local.mapInArrow(to_buckets, C.BLOCK_SCHEMA), _classes))
 
         def sketches(chunk: C.Chunk, answers: pa.Table):
             """Keys of the representatives here: sorted (key, place, size, copies)."""
-            local = _Local(chunk, n)
             got = C.gathered(answers)
             _, rep, times = got if got else (np.zeros(0, np.int64),) * 3
+            here = rep >> C.REF_BITS == chunk.id
+            sets = shingle_sets(chunk, n, (rep[here] & low).tolist()) if here.any() else []
             bands = Bands(percent)
             keys, place, copies = [], [], []
             for r, c in zip(rep.tolist(), times.tolist()):
                 if r >> C.REF_BITS == chunk.id:
-                    s = local.sets[r & low]
+                    s = sets[r & low]
                     k = bands.keys(s, C.mix(s))
                     keys.append(k)
                     place.append(np.full(len(k), r & low))
@@ -253,7 +322,8 @@ class Join:
                 return z.astype(np.uint64), z, z, z
             keys, place, copies = map(np.concatenate, (keys, place, copies))
             order = np.lexsort((place, -copies, keys))
-            return keys[order], place[order], local.size[place[order]], copies[order]
+            size = np.array([0 if s is None else len(s) for s in sets], np.int64)
+            return keys[order], place[order], size[place[order]], copies[order]
 
         def local_groups(keys):
             new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -283,96 +353,74 @@ class Join:
             partly = np.zeros(len(first), np.int64)
             np.add.at(partly, group, cut[order])
             whole = (count <= all_pairs) & (partly == 0)
-            left, right = _pairs(group, first, whole, all_pairs)
+            left, right = _pairs(group, whole, all_pairs)
             ok = _compatible(size[left], size[right], percent)
-            # members of groups whose pairs are not all there, for the last step
-            open_key = np.unique(key[first[~whole]])
             pairs = _pair_table(ref[left[ok]], ref[right[ok]])
-            told = {int(c): key[(ref >> C.REF_BITS == c) & ~whole[group]] for c in np.unique(ref[~whole[group]] >> C.REF_BITS)} \
-                if len(open_key) else {}
+            # chunks with members of a larger group are told its hub
+            part = np.flatnonzero(~whole[group])
+            hub = first[group[part]]
+            told, owner = [], ref[part] >> C.REF_BITS
+            for c in np.unique(owner):
+                mine = owner == c
+                keys_, one = np.unique(key[part][mine], return_index=True)
+                told.append((int(c), C.pack(keys_, ref[hub][mine][one])))
             return pa.table([
-                pa.array([None] * pairs.num_rows + list(told), pa.int64()),
+                pa.array([None] * pairs.num_rows + [c for c, _ in told], pa.int64()),
                 pa.concat_arrays([*pairs.column("a").chunks, pa.nulls(len(told), pa.int64())]),
                 pa.concat_arrays([*pairs.column("b").chunks, pa.nulls(len(told), pa.int64())]),
-                pa.array([None] * pairs.num_rows + [C.pack(np.unique(k)) for k in told.values()], pa.binary())],
+                pa.array([None] * pairs.num_rows + [p for _, p in told], pa.binary())],
                 names=["chunk_id", "a", "b", "payload"])
 
         sent = C.with_answers(self.chunks, self.classes, send, C.BLOCK_SCHEMA)
         met = C.written(sent.groupBy("bucket").applyInArrow(meet, "chunk_id long, a long, b long, payload binary"))
-        across = met.where("chunk_id is null").select("a", "b")
+        small = met.where("chunk_id is null").select("a", "b")
         opened = met.where("chunk_id is not null").select("chunk_id", "payload", F.lit(-1).alias("bucket"))
-        classes = self.classes
 
-        def members(chunk: C.Chunk, answers: pa.Table):
-            """Keys of large groups with the chunk's members, and its own pairs."""
+        def members(chunk: C.Chunk, answers: pa.Table) -> pa.Table:
+            """(hub, member) for the members here of larger groups."""
             own = np.array(answers.column("bucket")) >= 0
-            told = [C.unpack(p.as_py())[0] for p in answers.filter(pa.array(~own)).column("payload")]
-            return sketches(chunk, answers.filter(pa.array(own))), np.unique(np.concatenate(told)) if told else None
-
-        def inside(chunk: C.Chunk, answers: pa.Table) -> pa.Table:
-            """Pairs of the hub and the members of a key that are many within one chunk."""
-            if not (np.array(answers.column("bucket")) < 0).any():
-                return _pair_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
-            (keys, place, size, _), told = members(chunk, answers)
-            group, first, count = local_groups(keys)
-            rest = np.flatnonzero(count[group] > all_pairs)
-            left, right = first[group[rest]], rest
-            ok = (left != right) & _compatible(size[left], size[right], percent)
-            ref = (np.int64(chunk.id) << C.REF_BITS) + place
-            return _pair_table(ref[left[ok]], ref[right[ok]])
-
-        def listed(chunk: C.Chunk, answers: pa.Table) -> pa.Table:
-            """(key, reference, size) of each member of a large group."""
-            (keys, place, size, _), told = ((np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3, None) \
-                if not (np.array(answers.column("bucket")) < 0).any() else members(chunk, answers)
-            at = np.flatnonzero(np.isin(keys, told)) if told is not None else np.zeros(0, np.int64)
-            ref = (np.int64(chunk.id) << C.REF_BITS) + place[at]
-            return pa.table([pa.array(keys[at].view(np.int64)), pa.array(ref), pa.array(size[at])], names=["key", "ref", "size"])
-
-        asked = classes.unionByName(opened)
-        links = verify(self.chunks, across.unionByName(C.with_answers(self.chunks, asked, inside, PAIRS)), n, percent)
+            none = np.zeros((0, 2), np.int64)
+            if own.all():
+                both = none
+            else:
+                told = [C.unpack(p.as_py()) for p in answers.filter(pa.array(~own)).column("payload")]
+                key, hub = (np.concatenate(x) for x in zip(*told))
+                key, one = np.unique(key, return_index=True)
+                hub = hub[one]
+                keys, place, _, _ = sketches(chunk, answers.filter(pa.array(own)))
+                at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+                ok = key[at] == keys
+                both = np.stack([hub[at[ok]], (np.int64(chunk.id) << C.REF_BITS) + place[ok]], 1)
+                both = np.unique(both, axis=0)
+            return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        stars = C.with_answers(self.chunks, self.classes.unionByName(opened), members, PAIRS)
+        linked = verify(self.chunks, small.unionByName(stars.withColumn("b", -F.col("b") - 1)), n, percent)
+        kind = "a", "b", "doc_a", "doc_b"
+        spread = linked.where("difference is not null")
+        links = C.written(linked.where("link").select(*kind).unionByName(_through_hubs(spread, percent)))
         roots = components(links.select("a", "b"))
-        large = C.written(C.with_answers(self.chunks, asked, listed, "key long, ref long, size long"))
-        more = self._between(large, roots, percent)
-        if not more.isEmpty():
-            links = C.written(links.unionByName(verify(self.chunks, more, n, percent)))
-            roots = components(links.select("a", "b"))
         nodes = links.selectExpr("a as node", "doc_a as doc").unionByName(links.selectExpr("b as node", "doc_b as doc")).distinct()
         best = (nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("doc", "node")).alias("best")))
         self.labels = roots.join(best, "root").select("node", F.col("best.doc").alias("best_doc"), F.col("best.node").alias("best_ref"))
-        self.links, self.n, self.nb = links, n, nb
-
-    @staticmethod
-    def _between(large: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-        """Pairs of members of one group that are in different components so far."""
-        told = large.join(roots, large.ref == roots.node, "left").select(
-            "key", "ref", "size", F.coalesce("root", "ref").alias("root"))
-        mixed = told.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        told = C.written(told.join(mixed, "key"))
-        most = (told.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most")))
-        few = (told.join(most, "key").where("root <> most")
-               .select("key", F.col("ref").alias("ref2"), F.col("size").alias("size2"), F.col("root").alias("root2")))
-        return (told.join(few, "key").where("root <> root2")
-                .where(F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent)
-                .select(F.least("ref", "ref2").alias("a"), F.greatest("ref", "ref2").alias("b")).distinct())
+        self.links = links
 
     def documents(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id, and its own, its component's first and its class's reference."""
 
-        n = self.n
-
-        def told(chunk: C.Chunk, answers: pa.Table) -> pa.Table:
-            local = _Local(chunk, n)
-            got = C.gathered(answers)
-            own = (np.int64(chunk.id) << C.REF_BITS) + np.arange(len(chunk.ids))
-            rep, doc = own.copy(), chunk.ids.copy()
+        def told(left: pa.Table, right: pa.Table) -> pa.Table:
+            chunk_id = left.column("chunk_id")[0].as_py()
+            ids, size, full, member = C.unpack(left.column("payload")[0].as_py())[:4]
+            got = C.gathered(right)
+            own = (np.int64(chunk_id) << C.REF_BITS) + np.arange(len(ids))
+            rep, doc = own.copy(), ids.copy()
             if got:
-                doc[local.full], rep[local.full] = got[0][local.member], got[1][local.member]
-            return pa.table([chunk.ids_column(), pa.array(local.size), pa.array(own), pa.array(rep), pa.array(doc)],
+                doc[full], rep[full] = got[0][member], got[1][member]
+            return pa.table([pa.array(ids, pa.int64(), mask=ids == C.NULL_ID), pa.array(size), pa.array(own), pa.array(rep), pa.array(doc)],
                             names=["doc_id", "n_shingles", "own", "rep", "rep_doc"])
 
-        rows = C.with_answers(self.chunks, self.classes, told, "doc_id long, n_shingles long, own long, rep long, rep_doc long")
+        rows = (self.local.groupBy("chunk_id").cogroup(self.classes.groupBy("chunk_id"))
+                .applyInArrow(told, "doc_id long, n_shingles long, own long, rep long, rep_doc long"))
         out = rows.join(self.labels, rows.rep == self.labels.node, "left")
         component = F.coalesce("best_doc", "rep_doc")
         return out.select("doc_id", "n_shingles",
