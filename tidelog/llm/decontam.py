@@ -66,7 +66,7 @@ def _side(table: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, width: int, literal: int) -> DataFrame:
-    """(item_id, at, hash, total) of the usable windows of items; the width shrinks for short items."""
+    """(item_id, at, hash, total) of the usable windows of items of at least ``width`` words."""
     base = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
             .where("item_id is not null").withColumn("c", canonical(F.col("w"))).withColumn("n", F.size("c")))
     base = base.where(F.col("n") >= width)
@@ -120,3 +120,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
     return (out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
                        F.coalesce("changed", F.lit(0.0)).alias("changed"))
             .where(F.col("consistency") >= consistency))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """The documents that hold no benchmark item; those with a null doc_id stay."""
+    leaked = leaks(docs, benchmark, **parameters).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)

@@ -73,7 +73,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
          broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, license, n_shingles, containment, first_word) of the notices found."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, body string")
+    known = spark.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted((templates or TEMPLATES).items())))))
     masks = _masks(bands)
     ours = _hashed(known, F.col("license"), F.col("body"))
     # every window of a template, at each offset: documents may cut it anywhere

@@ -106,11 +106,12 @@ def _earliest(keys, owner, columns):
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                   carry: tuple = ()) -> DataFrame:
+                   carry: tuple = (), layout: bool = False) -> DataFrame:
     """Per document: doc_id, kept_text, n_words, n_removed and the carried columns.
 
     ``kept_text`` joins the kept words by one space; ``n_removed`` is 0 for a
-    document that repeats nothing earlier.
+    document that repeats nothing earlier.  With ``layout`` the text of such a
+    document is returned as it is.
     """
     spark = docs.sparkSession
     chunks = C.chunked(docs, id_col, text_col, carry=carry)
@@ -152,6 +153,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
         kept = []
         for i in range(len(w.length)):
+            if layout and not lost[i]:
+                kept.append(chunk.text(i))
+                continue
             words = chunk.text(i).split()
             if lost[i]:
                 words = compress(words, (~gone[w.first[i]:w.first[i + 1]]).tolist())

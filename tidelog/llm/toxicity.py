@@ -287,15 +287,31 @@ def _logistic(x, y, w, rounds: int = 200, ridge: float = 0.05) -> tuple:
     return tuple(a.tolist())
 
 
+def _scores(chunk: C.Chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    a, per_length, b = model.curve
+    e, n = evidence(chunk, model)
+    p = 1 / (1 + np.exp(-(a * np.log1p(e) + per_length * np.log1p(n) + b)))
+    return e, p if model.automaton is not None else np.zeros(len(e))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that score below ``threshold``."""
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            below = [_scores(chunk, model)[1] < threshold for chunk, _ in C.pieces([batch.select([id_col, text_col])])]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *below])))
+
+    return docs.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, evidence and score (0 to 1)."""
 
     def run(batches):
-        a, per_length, b = model.curve
         for chunk, _ in C.pieces(batches):
-            e, n = evidence(chunk, model)
-            p = 1 / (1 + np.exp(-(a * np.log1p(e) + per_length * np.log1p(n) + b)))
-            p = p if model.automaton is not None else np.zeros(len(e))
+            e, p = _scores(chunk, model)
             yield pa.RecordBatch.from_arrays([chunk.ids_column(), pa.array(e), pa.array(p)], names=["doc_id", "evidence", "score"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("a"), docs[text_col].cast("string").alias("b"))
