@@ -1 +1 @@
-"""tidelog: versioned key-value analytics on Spark DataFrames."""
+"""Versioned key-value relations on Spark: every put and delete is a row of an operation log."""

@@ -1,4 +1,342 @@
-"""Every query of the key-value engine with the SQL that must give the same rows."""
+"""Every query of the key-value engine; :mod:`tidelog.plans.oracles` has SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions.entries import entry_bytes, payload_bytes
+from tidelog.model import DELETE, Config
+from tidelog.operators import compaction, ordering, reads, tables, writes
+from tidelog.plans.oracles import EDITS, LIMIT, ORACLES, PUTS
+from tidelog.plans.store import Store
+from tidelog.sources import folders, manifest, sst
+from tidelog.sources.tables import events_log, events_ops, orders_log, pages_log, table
+from tidelog.streaming import ingest
+
+CONFIG = Config(memtable_bytes=LIMIT)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _probes(spark, sf_dir):
+    """Keys asked for by every event, half of them absent, repeats included."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("key"), F.col("user_id") * 2).alias("key"))
+
+
+def _cut(spark, sf_dir):
+    return tables.memtables(events_log(spark, sf_dir), LIMIT)
+
+
+def _tiered(spark, sf_dir):
+    return tables.tiers(_cut(spark, sf_dir))
+
+
+def _files(spark, sf_dir):
+    """The catalogue of the tiers on disk."""
+    return tables.catalogue(_tiered(spark, sf_dir).where("tier >= 2").withColumn("level", F.col("tier") - 2))
+
+
+# -- reads -----------------------------------------------------------------
+
+@query
+def live_snapshot(spark, sf_dir):
+    return reads.live(events_log(spark, sf_dir))
+
+
+@query
+def get_point(spark, sf_dir):
+    return reads.get(events_log(spark, sf_dir), "key1")
+
+
+@query
+def get_deleted(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    key = reads.latest(log).where(F.col("op") == DELETE).agg(F.min("key")).first()[0]
+    return reads.get(log, key)
+
+
+@query
+def get_absent(spark, sf_dir):
+    return reads.get(events_log(spark, sf_dir), "no such key")
+
+
+@query
+def multi_get(spark, sf_dir):
+    return reads.multi_get(events_log(spark, sf_dir), _probes(spark, sf_dir)).select("pos", "key", "status", "value")
+
+
+@query
+def as_of_snapshot(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    middle = log.agg(F.max("seq")).first()[0] // 2
+    return reads.live(reads.as_of(log, middle))
+
+
+@query
+def history(spark, sf_dir):
+    return reads.history(events_log(spark, sf_dir)).select("key", "seq", "op", "age")
+
+
+@query
+def versions_per_key(spark, sf_dir):
+    return events_log(spark, sf_dir).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_versions"), F.count_if(F.col("op") == DELETE).alias("n_tombstones"))
+
+
+@query
+def prefix_raw(spark, sf_dir):
+    return reads.prefix(events_log(spark, sf_dir), "key1")
+
+
+@query
+def prefix_live(spark, sf_dir):
+    return reads.prefix(events_log(spark, sf_dir), "key1", newest_only=True)
+
+
+@query
+def key_range(spark, sf_dir):
+    return reads.live(reads.key_range(events_log(spark, sf_dir), "key2", "key5"))
+
+
+@query
+def lower_bound(spark, sf_dir):
+    return reads.seek(events_log(spark, sf_dir), "key5x")
+
+
+@query
+def seek_first(spark, sf_dir):
+    return reads.seek(events_log(spark, sf_dir))
+
+
+@query
+def seek_last(spark, sf_dir):
+    return reads.seek(events_log(spark, sf_dir), last=True)
+
+
+@query
+def next_prev(spark, sf_dir):
+    return ordering.neighbours(events_log(spark, sf_dir))
+
+
+@query
+def merge_forward(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return ordering.positions(reads.merged(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))).select("key", "seq", "op", "position")
+
+
+@query
+def merge_reverse(spark, sf_dir):
+    placed = ordering.positions(events_log(spark, sf_dir))
+    last = placed.agg(F.max("position").alias("last"))
+    return placed.crossJoin(F.broadcast(last)).select("key", "seq", "op", (F.col("last") - F.col("position")).alias("position"))  # one row
+
+
+@query
+def orders_put_get(spark, sf_dir):
+    probes = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("key"), "l_orderkey").alias("key")).distinct()
+    return reads.multi_get(orders_log(spark, sf_dir), probes).select("key", "status", "value")
+
+
+@query
+def page_store_get(spark, sf_dir):
+    probes = table(spark, sf_dir, "pages").select(
+        F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#none"))).alias("key"))
+    found = reads.multi_get(pages_log(spark, sf_dir), probes)
+    return found.select("key", "status", F.octet_length("value").cast("long").alias("n_bytes"), F.md5("value").alias("value_md5"))
+
+
+# -- writes ----------------------------------------------------------------
+
+@query
+def batch_put(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    after = writes.put(log, writes.rows(log, PUTS))
+    return reads.latest(after).where(F.col("key").isin([k for k, _ in PUTS])).select("key", "value", "op", "seq")
+
+
+@query
+def batch_delete(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    after = writes.delete(log, writes.rows(log, PUTS))
+    return reads.latest(after).where(F.col("key").isin([k for k, _ in PUTS])).select("key", "value", "op", "seq")
+
+
+@query
+def empty_put_is_delete(spark, sf_dir):
+    raw = events_ops(spark, sf_dir).select("seq", F.col("op").alias("asked"))
+    kind = F.when(F.col("asked") == DELETE, "delete").otherwise("empty put")
+    return (raw.join(events_log(spark, sf_dir).where(F.col("op") == DELETE), "seq")
+            .groupBy(kind.alias("origin")).agg(F.count(F.lit(1)).alias("n_tombstones")))
+
+
+# -- memtables and files ---------------------------------------------------
+
+@query
+def memtable_bytes(spark, sf_dir):
+    return events_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_versions"), F.sum(payload_bytes()).alias("n_bytes"))
+
+
+@query
+def memtable_cuts(spark, sf_dir):
+    return _cut(spark, sf_dir).groupBy("memtable_id").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n_versions"),
+        F.sum(payload_bytes()).alias("n_bytes"))
+
+
+@query
+def flush_batches(spark, sf_dir):
+    return tables.flush_batches(_cut(spark, sf_dir), CONFIG.memtables_per_flush)
+
+
+@query
+def sst_metadata(spark, sf_dir):
+    return tables.catalogue(_cut(spark, sf_dir))
+
+
+@query
+def entry_sizes(spark, sf_dir):
+    return events_log(spark, sf_dir).groupBy("op").agg(F.sum(entry_bytes()).alias("n_bytes"), F.count(F.lit(1)).alias("n_entries"))
+
+
+@query
+def block_layout(spark, sf_dir):
+    return tables.block_layout(_cut(spark, sf_dir), CONFIG.block_bytes)
+
+
+@query
+def level_candidates(spark, sf_dir):
+    return tables.candidates(_probes(spark, sf_dir), _files(spark, sf_dir))
+
+
+@query
+def tiered_get(spark, sf_dir):
+    return tables.tiered_get(_tiered(spark, sf_dir), _probes(spark, sf_dir)).select("key", "status", "value", "tier")
+
+
+# -- compaction ------------------------------------------------------------
+
+@query
+def compaction_score(spark, sf_dir):
+    return compaction.scores(_files(spark, sf_dir), CONFIG.level0_trigger)
+
+
+@query
+def level_pick(spark, sf_dir):
+    return compaction.pick_level(compaction.scores(_files(spark, sf_dir), CONFIG.level0_trigger))
+
+
+@query
+def l0_overlap_closure(spark, sf_dir):
+    return compaction.overlap_closure(_files(spark, sf_dir)).select("sst_id", "smallest_key", "largest_key")
+
+
+@query
+def next_level_inputs(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return compaction.next_level(files, compaction.overlap_closure(files)).select("sst_id", "level")
+
+
+@query
+def compaction_merge(spark, sf_dir):
+    return compaction.merge(_tiered(spark, sf_dir).where("tier >= 2").drop("memtable_id", "tier"))
+
+
+@query
+def compaction_merge_level0(spark, sf_dir):
+    """Level 0 alone: its tombstones stay where level 1 may hold an older version."""
+    deeper = _files(spark, sf_dir).where("level = 1")
+    return compaction.merge(_tiered(spark, sf_dir).where("tier = 2").drop("memtable_id", "tier"), deeper)
+
+
+@query
+def compaction_stats(spark, sf_dir):
+    return compaction.stats(_tiered(spark, sf_dir).where("tier >= 2"))
+
+
+@query
+def compaction_split(spark, sf_dir):
+    """Output files of a whole compaction, cut at a quarter of the memtable limit."""
+    merged = compaction.merge(events_log(spark, sf_dir))
+    return compaction.split(merged, LIMIT // 16).groupBy("file_no").agg(
+        F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.count(F.lit(1)).alias("n_entries"),
+        F.sum(payload_bytes()).alias("n_bytes"))
+
+
+# -- manifest --------------------------------------------------------------
+
+@query
+def manifest_replay(spark, sf_dir):
+    return manifest.replay(manifest.literal_edits(spark, EDITS))
+
+
+@query
+def manifest_counters(spark, sf_dir):
+    return manifest.counters(manifest.literal_edits(spark, EDITS))
+
+
+@query
+def version_apply(spark, sf_dir):
+    return manifest.versions(manifest.literal_edits(spark, EDITS)).select("version_id", "sst_id", "level")
+
+
+@query
+def obsolete_files(spark, sf_dir):
+    return manifest.obsolete(manifest.literal_edits(spark, EDITS), retained_from=2)
+
+
+@query
+def recovered_snapshot(spark, sf_dir):
+    return reads.live(tables.flushed(_cut(spark, sf_dir), CONFIG.memtables_per_flush))
+
+
+# -- durable and streamed --------------------------------------------------
+
+@query
+def store_reopened(spark, sf_dir):
+    """The live keys of a store after two flushes, compaction and reopening."""
+    path = folders.shared(spark)
+    log = events_log(spark, sf_dir)
+    half = log.agg(F.max("seq")).first()[0] // 2
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        store = Store(spark, path, CONFIG)
+        store.put(part.select((F.col("seq") - 1 - store.seq).alias("ordinal"), "key", "value"))
+        store.flush()
+    store.vacuum()
+    return reads.live(Store(spark, path, CONFIG).log())
+
+
+@query
+def sst_round_trip(spark, sf_dir):
+    """The log written as binary sorted files and read back."""
+    path = folders.shared(spark)
+    cut = _cut(spark, sf_dir)
+    sized = cut.withColumnRenamed("memtable_id", "sst_id").withColumn("n_bytes", entry_bytes() + 16)
+    blocks = tables.greedy_within(sized, "sst_id", ["key", "-seq"], "n_bytes", CONFIG.block_bytes, "block_id")
+    sst.write(sst.encoded_files(sst.encoded_blocks(blocks)), path)
+    return sst.read(spark, path)
+
+
+@query
+def stream_ingest_latest(spark, sf_dir):
+    path = folders.shared(spark)
+    events_log(spark, sf_dir).repartition(4, "seq").write.parquet(f"{path}/in")
+    ingest.append_newest(ingest.source(spark, f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return reads.latest(spark.read.parquet(f"{path}/out"))
+
+
+@query
+def stream_state_latest(spark, sf_dir):
+    path = folders.shared(spark)
+    events_log(spark, sf_dir).repartition(4, "seq").write.parquet(f"{path}/in")
+    ingest.append_changes(ingest.source(spark, f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return reads.latest(spark.read.parquet(f"{path}/out"))
+
+
+__all__ = ["QUERIES", "ORACLES"]
