@@ -20,9 +20,9 @@ def scores(files: DataFrame, level0_trigger: int) -> DataFrame:
 
 
 def pick_level(scored: DataFrame) -> DataFrame:
-    """(level, score, due): the highest score, the deeper level on ties."""
+    """(level, score, due): the highest score, the deeper level on ties; no row without files."""
     best = F.max_by(F.struct("level", "score"), F.struct("score", "level")).alias("b")
-    return scored.agg(best).select("b.level", "b.score", (F.col("b.score") >= 1).alias("due"))
+    return scored.agg(best).where("b is not null").select("b.level", "b.score", (F.col("b.score") >= 1).alias("due"))
 
 
 def overlap_closure(files: DataFrame) -> DataFrame:
