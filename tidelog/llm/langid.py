@@ -5,8 +5,9 @@ script in training.  A word's score under a language is the sum over its letter
 trigrams of their log probability relative to the mean of the languages.  A
 Viterbi pass over a document's words pays ``penalty`` for each change of language
 and so labels spans.  Most documents need no pass: if no language gains more
-than the penalty on the best one over any run of words, a constant label is
-optimal, and that test is a running minimum over all documents of a chunk.
+than half the penalty on the best one over any run of words, a constant label is
+optimal (m changes make m + 1 runs), and that test is a running minimum over all
+documents of a chunk.
 
 The model is fitted on at most ``max_docs`` labelled documents outside the
 held-out fold, chosen by a hash of their id; everything is labelled.
@@ -198,7 +199,7 @@ def word_labels(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarr
     low = np.concatenate([np.zeros((1, k)), gain])[:-1]
     floor = np.minimum.accumulate(low - doc[:, None] * width, axis=0) + doc[:, None] * width if n else low
     open_doc = np.zeros(len(cut) - 1, bool)
-    open_doc[doc[((gain - floor) > penalty).any(1)]] = True
+    open_doc[doc[((gain - floor) > penalty / 2).any(1)]] = True
     if open_doc.any():
         size = np.diff(cut)[open_doc]
         rows = np.flatnonzero(open_doc[doc])
