@@ -83,7 +83,7 @@ class Automaton:
                                 out.update((0, 0, i) for i in term_of.get(n, ()) if self.terms[i][1] == "stem")
                     elif edits == 0 and n in fuzzy_nodes:
                         out.add((n, 1, -1))
-                if edits == 0 and node in fuzzy_nodes and node:
+                if edits == 0 and node in fuzzy_nodes:
                     out.add((node, 1, -1))
             return closure(out)
 
@@ -176,7 +176,7 @@ def evidence(chunk: C.Chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
             word = low[start[before[i]]:end[before[i]]].astype(np.uint32).tobytes().decode("utf-32-le", "replace")
             reported[i] |= word in REPORTING
     worth *= np.where(reported | _in_quotes(code, begins, start[hit]), model.quoted, 1.0)
-    return np.bincount(doc, worth, n), np.diff(np.searchsorted(start, begins))
+    return np.bincount(doc, worth, n).astype(float), np.diff(np.searchsorted(start, begins))
 
 
 def _sample(docs, labels, folds, held_out_fold, max_docs, id_col, text_col):
