@@ -34,6 +34,8 @@ from . import suffix
 
 _BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
+#: A core holds some twenty arrays over a chunk's bytes at a time, so chunks are small here.
+CHUNK_BYTES = 1 << 20
 SHARD_BYTES = 512 << 10
 
 
@@ -195,8 +197,8 @@ def _compared(sent: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary)."""
-    chunks = C.chunked(docs, id_col, text_col)
-    nb = C.n_buckets(docs.sparkSession, chunks.select("chunk_id").count())
+    chunks = C.chunked(docs, id_col, text_col, CHUNK_BYTES)
+    nb = C.n_buckets(docs.sparkSession, chunks.select("chunk_id").count(), CHUNK_BYTES)
 
     def anchors(batches):
         for chunk in C.chunks_of(batches):
