@@ -228,25 +228,31 @@ def _power(n: int) -> np.uint64:
 
 # -- packing ---------------------------------------------------------------
 
+_KINDS = [np.dtype(x) for x in ("u1", "i1", "u2", "i2", "u4", "i4", "u8", "i8", "f4", "f8")]
+_CODE = {x: i for i, x in enumerate(_KINDS)}
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes: equal high bytes of neighbours compress away."""
-    head = [len(arrays)]
-    parts = []
+    """Arrays as byte planes: equal high bytes of neighbours compress away.
+
+    Before them stand their number, types and lengths, in few bytes, as a block
+    may hold a single key.
+    """
+    parts = [bytes([len(arrays), *(_CODE[a.dtype] for a in arrays)]), np.array([len(a) for a in arrays], np.uint32).tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        head += [len(a), a.dtype.itemsize, "uif".index(a.dtype.kind)]
         parts.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return np.array(head, np.int64).tobytes() + b"".join(parts)
+    return b"".join(parts)
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(payload, np.int64, 1)[0])
-    head = np.frombuffer(payload, np.int64, 3 * n, 8).reshape(n, 3).tolist()
-    out, at = [], 8 + 24 * n
-    for size, width, kind in head:
-        planes = np.frombuffer(payload, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"{'uif'[kind]}{width}").reshape(size))
-        at += size * width
+    n = payload[0]
+    kinds = [_KINDS[c] for c in payload[1:1 + n]]
+    out, at = [], 1 + 5 * n
+    for kind, size in zip(kinds, np.frombuffer(payload, np.uint32, n, 1 + n).tolist()):
+        planes = np.frombuffer(payload, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * kind.itemsize
     return out
 
 
