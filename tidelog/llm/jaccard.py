@@ -37,6 +37,8 @@ from . import common as C
 from .graph import components
 
 _SKETCH = 4096
+#: Block keys only propose pairs, so 48 bits do; the others compress away.
+_KEY = np.uint64(2**64 - 2**16)
 _LOW = np.uint64(32)
 
 
@@ -77,7 +79,7 @@ class Bands:
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), block)
                 block, xor = np.append(block, none), np.append(xor, np.zeros(len(none), np.uint64))
             tag = C.mix((np.uint64(band) << _LOW) + block)
-            out.append(C.mix(xor ^ tag) + tag)
+            out.append((C.mix(xor ^ tag) + tag) & _KEY)
         return np.concatenate(out)
 
 
@@ -163,21 +165,22 @@ def verify(chunks: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     """Pairs of references whose sets link; of hub pairs (b negative: -1 - b) all, with their difference."""
     bands = Bands(percent)
     low = (1 << C.REF_BITS) - 1
-    asked = pairs.distinct().withColumn("chunk_id", F.shiftright("a", C.REF_BITS))
+    to = F.shiftright(F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")), C.REF_BITS)
+    asked = C.written(pairs.distinct().select("a", "b", to.alias("to")))
+    # a set is lent once to a chunk, however many partners it has there
+    wanted = asked.select("a", "to").distinct().withColumn("chunk_id", F.shiftright("a", C.REF_BITS))
 
     def lend(chunk: C.Chunk, want: pa.Table) -> pa.Table:
-        """Sets of the first of each pair, for the chunk of the second."""
-        a, b = (want.column(c).to_numpy() for c in ("a", "b"))
-        if len(a):
-            sets = shingle_sets(chunk, n, np.unique(a & low).tolist())
-        to = np.where(b < 0, -1 - b, b) >> C.REF_BITS
-        ids, rows = np.unique(to), []
-        for t in ids:
-            mine = np.flatnonzero(to == t)
-            first, which = np.unique(a[mine] & low, return_inverse=True)
-            lent = [sets[i] for i in first.tolist()]
-            rows.append(C.pack(a[mine], b[mine], which.astype(np.uint32), np.array([len(x) for x in lent], np.int64),
-                               np.concatenate(lent), chunk.ids[a[mine] & low]))
+        """Texts for the chunks of their partners: compressed, they are a fraction of their sets."""
+        order = np.lexsort((want.column("a").to_numpy(), want.column("to").to_numpy()))
+        a, target = (want.column(c).to_numpy()[order] for c in ("a", "to"))
+        ids, first = np.unique(target, return_index=True)
+        rows = []
+        for own in np.split(a, first[1:]) if len(ids) else []:
+            at = own & low
+            body = b"".join([chunk.body[chunk.starts[i]:chunk.ends[i] + 1] for i in at.tolist()])
+            rows.append(C.pack(own, chunk.ids[at], chunk.lens[at], np.array([len(body)]),
+                               np.frombuffer(pa.compress(body, "zstd", asbytes=True), np.uint8)))
         return pa.table([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["chunk_id", "payload"])
 
     def sketch(s: np.ndarray) -> np.ndarray:
@@ -186,36 +189,43 @@ def verify(chunks: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     def judge(chunk: C.Chunk, lent: pa.Table) -> pa.Table:
         out, differences = [], []
         if lent.num_rows:
-            got = [C.unpack(x.as_py()) for x in lent.column("payload")]
-            places = [(np.where(g[1] < 0, -1 - g[1], g[1]) & low).tolist() for g in got]
-            mine = shingle_sets(chunk, n, sorted({i for own in places for i in own}))
+            told = lent.filter(pa.array(np.array(lent.column("payload").is_null())))
+            order = np.argsort(told.column("a").to_numpy())
+            first, second = (told.column(c).to_numpy()[order] for c in ("a", "b"))
+            hub = second < 0
+            second = np.where(hub, -1 - second, second)
+            mine = shingle_sets(chunk, n, np.unique(second & low).tolist())
             bits: dict[int, np.ndarray] = {}
-            for (a, b, which, sizes, flat, doc_a), place in zip(got, places):
-                cut = np.cumsum([0, *sizes.tolist()])
-                other = [flat[cut[i]:cut[i + 1]] for i in range(len(sizes))]
-                other_bits = [sketch(s) for s in other]
-                for i, (w, at) in enumerate(zip(which.tolist(), place)):
-                    s, t = other[w], mine[at]
-                    hub, total = b[i] < 0, len(s) + len(t)
-                    if at not in bits:
-                        bits[at] = sketch(t)
-                    apart = int(np.bitwise_count(other_bits[w] ^ bits[at]).sum()) > bands.difference(total)
-                    if not hub and apart:
-                        continue
-                    short, long = (s, t) if len(s) <= len(t) else (t, s)
-                    common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                    link = common * 100 >= (total - common) * percent
-                    if link or hub:
-                        ref = -1 - b[i] if hub else b[i]
-                        out.append((a[i], ref, doc_a[i], chunk.ids[at], link and a[i] != ref, len(s), len(t)))
-                        differences.append(np.setxor1d(s, t, assume_unique=True).tobytes() if hub else None)
+            for payload in lent.column("payload").drop_null():
+                refs, ids, lens, size, body = C.unpack(payload.as_py())
+                text = pa.decompress(body.tobytes(), int(size[0]), "zstd", asbytes=True)
+                sets = shingle_sets(C.Chunk(0, ids.tobytes(), lens.tobytes(), text, b""), n)
+                begin, end = np.searchsorted(first, refs), np.searchsorted(first, refs, "right")
+                for ref, doc, s, i, j in zip(refs.tolist(), ids.tolist(), sets, begin.tolist(), end.tolist()):
+                    own_bits = sketch(s)
+                    for k in range(i, j):
+                        at = int(second[k] & low)
+                        t = mine[at]
+                        total = len(s) + len(t)
+                        if at not in bits:
+                            bits[at] = sketch(t)
+                        if not hub[k] and int(np.bitwise_count(own_bits ^ bits[at]).sum()) > bands.difference(total):
+                            continue
+                        short, long = (s, t) if len(s) <= len(t) else (t, s)
+                        common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                        link = common * 100 >= (total - common) * percent
+                        if link or hub[k]:
+                            out.append((ref, second[k], doc, chunk.ids[at], link and ref != second[k], len(s), len(t)))
+                            differences.append(np.setxor1d(s, t, assume_unique=True).tobytes() if hub[k] else None)
         columns = np.array(out, np.int64).reshape(len(out), 7).T
         return pa.table([*(pa.array(c) for c in columns[:4]), pa.array(columns[4].astype(bool)), pa.array(columns[5]),
                          pa.array(columns[6]), pa.array(differences, pa.binary())],
                         names=[x.split()[0] for x in VERIFIED.split(", ")])
 
-    sent = C.with_answers(chunks, asked, lend, "chunk_id long, payload binary")
-    return C.written(C.with_answers(chunks, sent, judge, VERIFIED))
+    sent = C.with_answers(chunks, wanted, lend, "chunk_id long, payload binary")
+    both = sent.select("chunk_id", "payload", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
+        asked.select(F.col("to").alias("chunk_id"), F.lit(None).cast("binary").alias("payload"), "a", "b"))
+    return C.written(C.with_answers(chunks, both, judge, VERIFIED))
 
 
 def _through_hubs(spread: DataFrame, percent: int, block: int = 20_000) -> DataFrame:
