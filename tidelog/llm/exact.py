@@ -11,7 +11,8 @@ equal anchors, so an anchor decides the shard in which a string is compared:
    shard.  Pieces found twice are repeated as a whole; the other distinct ones
    are compared by the shard's suffix array (:mod:`tidelog.llm.suffix`), built by
    induced sorting, with permuted common prefixes of at least ``length`` bytes.
-3. An anchor with more than ``hot`` occurrences would make a shard too large; its
+3. An anchor with more than ``hot`` occurrences could make a shard too large (a
+   core needs some 150 bytes for a byte of it); its
    strings are sent by their own hashes instead, once per chunk and distinct
    string, which spreads them evenly.
 4. The answers go back to the chunks, which cut the covered bytes.
@@ -36,7 +37,7 @@ _BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 #: A core holds some twenty arrays over a chunk's bytes at a time, so chunks are small here.
 CHUNK_BYTES = 1 << 20
-SHARD_BYTES = 512 << 10
+SHARD_BYTES = 256 << 10
 
 
 class _Strings:
@@ -76,7 +77,8 @@ class _Strings:
             place.append(at[first])
         empty = np.zeros(0, np.int64)
         self.start, self.stop, place = (np.concatenate([empty, *x]) for x in (self.start, self.stop, place))
-        self.keys, self.which, self.times = np.unique(anchor[place], return_inverse=True, return_counts=True)
+        # a least hash is small: mixed again, its high bits spread over the buckets
+        self.keys, self.which, self.times = np.unique(C.mix(anchor[place] + C._ODD), return_inverse=True, return_counts=True)
 
     def hashes(self, start: np.ndarray, size) -> np.ndarray:
         n = len(self.chunk.data)
@@ -195,7 +197,7 @@ def _compared(sent: DataFrame, n_buckets: int, length: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, C.BLOCK_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary)."""
     chunks = C.chunked(docs, id_col, text_col, CHUNK_BYTES)
     nb = C.n_buckets(docs.sparkSession, chunks.select("chunk_id").count(), CHUNK_BYTES)

@@ -1,6 +1,6 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on one shard of bytes.
 
-A shard is a few hundred kilobytes, so all of it stays in a core's cache.  The
+A shard is a few hundred kilobytes, so its arrays stay small.  The
 steps are those of induced sorting: suffixes are classified as smaller or larger
 than their right neighbour; leftmost-smaller substrings are sorted by inducing
 from their first letters and named; if names repeat, the reduced string of names
@@ -127,9 +127,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     first = sa[mark[sa]]  # leftmost-smaller suffixes, ordered by their substrings
     n = len(t)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * C.powers(n + 1)[:n], out=total[1:])
+    np.multiply(C.powers(n + 1)[:n], t, out=total[1:])
+    total[1:] += C.powers(n + 1)[:n]
+    np.cumsum(total, out=total)
     stop = np.append(p[1:], n - 1) + 1
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[p] = np.arange(len(p))
     which = place[first]
     a, b = p[which], stop[which]
@@ -142,14 +144,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per position: common prefix with the suffix that precedes it in ``sa``, and that suffix."""
     n = len(t)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n - 1  # the smallest suffix shares nothing with anything
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     whole = np.flatnonzero((at == 0) | (before == 0) | (t[at - 1] != t[before - 1]))
     padded = np.concatenate([t, np.zeros(16, np.uint8)])
     words = np.ndarray((n + 8,), np.uint64, buffer=padded.data, strides=(1,))
-    common = np.zeros(len(whole), np.int64)
+    common = np.zeros(len(whole), np.int32)
     live = np.arange(len(whole))
     i, j = whole.copy(), before[whole]
     while len(live):
@@ -161,7 +163,7 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.nda
         same &= np.maximum(i, j) + 8 < n
         live, i, j = live[same], i[same] + 8, j[same] + 8
     common = np.minimum(common, n - np.maximum(whole, before[whole]))
-    lead = np.zeros(n, np.int64)
+    lead = np.zeros(n, np.int32)
     lead[whole] = np.arange(len(whole))
     lead = np.maximum.accumulate(lead)
     return np.maximum(common[lead] - (at - whole[lead]), 0), before
