@@ -79,8 +79,7 @@ def stats(inputs: DataFrame, deeper: DataFrame | None = None) -> DataFrame:
 def split(merged: DataFrame, limit: int) -> DataFrame:
     """The merged rows with ``file_no``: in key order a file ends with the row that fills it."""
     placed = positions(merged).withColumn("n_bytes", payload_bytes())
-    cut = greedy(placed, "position", "n_bytes", limit, "file_no")
-    return placed.join(cut, "position").drop("position", "n_bytes")
+    return greedy(placed, "position", "n_bytes", limit, "file_no").drop("position", "n_bytes")
 
 
 def newest_by_window(inputs: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
+#: Blocks and cuts up to which they are broadcast; both are counted.
+SMALL = 200_000
 
 
 def cut_rows(size: np.ndarray, limit: int, open_: int = 0) -> np.ndarray:
@@ -64,9 +66,13 @@ def block_function(size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def greedy(rows: DataFrame, ordinal: str, size: str, limit: int, into: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(ordinal, ``into``): the number of the cut of each row, in the order of a dense unique ``ordinal``."""
-    narrow = rows.select(F.col(ordinal).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
-    blocks = narrow.withColumn("block", F.floor(F.col("o") / block_rows))
+    """``rows`` with ``into``: the number of each row's cut, in the order of a unique ``ordinal``.
+
+    Only (ordinal, size) is shuffled.  A block's cuts come back as the ordinals at
+    which they start, and the rows look theirs up without moving.
+    """
+    block = F.floor(F.col(ordinal) / block_rows)
+    blocks = rows.select(F.col(ordinal).cast("long").alias("o"), F.col(size).cast("long").alias("s"), block.alias("block"))
 
     def function(table: pa.Table) -> pa.Table:
         sizes = table.sort_by("o").column("s").to_numpy()
@@ -85,9 +91,14 @@ def greedy(rows: DataFrame, ordinal: str, size: str, limit: int, into: str, bloc
     def numbered(table: pa.Table) -> pa.Table:
         table = table.sort_by("o")
         own = cut_rows(table.column("s").to_numpy(), limit, table.column("open")[0].as_py())
-        return pa.table({ordinal: table.column("o"), into: pa.array(own + table.column("first")[0].as_py())})
-
-    return blocks.join(starts, "block").groupBy("block").applyInArrow(numbered, f"{ordinal} long, {into} long")
+        at = table.column("o").to_numpy()[np.flatnonzero(np.diff(own)) + 1]
+        return pa.table({"cut_block": table.column("block")[:1], "first_cut": table.column("first")[:1],
+                         "starts": pa.array([at.tolist()], pa.list_(pa.int64()))})
+
+    told = blocks.join(starts, "block").groupBy("block").applyInArrow(numbered, "cut_block long, first_cut long, starts array<long>")
+    told = F.broadcast(told) if len(begin) + number <= SMALL else told
+    own = F.size(F.filter("starts", lambda s: s <= F.col(ordinal)))
+    return rows.join(told, block == F.col("cut_block")).select(*rows.columns, (F.col("first_cut") + own).alias(into))
 
 
 def greedy_within(rows: DataFrame, group: str, order: list[str], size: str, limit: int, into: str) -> DataFrame:

@@ -17,8 +17,7 @@ _OFFSET_BYTES, _TRAILER_BYTES = 16, 16
 
 def memtables(log: DataFrame, limit: int) -> DataFrame:
     """The log with ``memtable_id``: a memtable ends with the operation that fills it to ``limit`` bytes."""
-    cuts = greedy(log.withColumn("n_bytes", payload_bytes()), "seq", "n_bytes", limit, "memtable_id")
-    return log.join(cuts, "seq").select(*log.columns, "memtable_id")
+    return greedy(log.withColumn("n_bytes", payload_bytes()), "seq", "n_bytes", limit, "memtable_id").drop("n_bytes")
 
 
 def flush_batches(cut: DataFrame, memtables_per_flush: int) -> DataFrame:
