@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 _SHORT = 48
-_CACHE = 400_000
+_CACHE = 200_000
 _SLOTS = 1 << 20
 _SLICE = 2 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 #: A document's reference is chunk_id << REF_BITS | its place in the chunk.
 REF_BITS = 20
@@ -168,6 +168,7 @@ def chunks_of(batches):
     for batch in batches:
         for row in zip(*(batch.column(i) for i in range(5))):
             yield Chunk(*(x.as_py() for x in row))
+            pa.default_memory_pool().release_unused()
 
 
 # -- hashing ---------------------------------------------------------------
