@@ -3,7 +3,7 @@
 Texts are cut to blocks of three word shingles (of three words each); a window
 is two neighbouring blocks, so windows overlap by half.  Of each window ``bands``
 minima under different masks of the shingle hashes are taken, each a band of one
-row: a template of three shingles inside a window of six (Jaccard 0.5) collides
+row, whose key is the shingle that is least: a template of three shingles inside a window of six (Jaccard 0.5) collides
 with probability 1 - 0.5^bands, 0.9998 for 12, and longer ones in several windows.
 Retrieved pairs are verified: the share of the template's shingles that the
 document holds must reach ``containment``.
@@ -18,8 +18,6 @@ three shingles are not searched.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +63,19 @@ def _xor(mask: int):
     return lambda x: x.bitwiseXOR(F.lit(mask))
 
 
-def _least(values: list) -> Column:
-    return reduce(lambda a, b: F.least(a, b), values) if len(values) > 1 else values[0]
+def _minima(shingled: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, band): of each window of two neighbouring blocks, the shingle that is least under each mask; once a text."""
+    last = F.size("s") - 1
+    least = lambda *x: F.array(*(F.least(*(v.bitwiseXOR(F.lit(m)) for v in x)) for m in masks))
+    blocks = shingled.select("key", F.transform(
+        F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")),
+        lambda b: F.struct(*(F.get("s", F.least(b * _BLOCK + j, last)).alias(f"s{j}") for j in range(_BLOCK)))).alias("b"))
+    minima = blocks.select("key", F.transform("b", lambda x: least(*(x[f"s{j}"] for j in range(_BLOCK)))).alias("m"))
+    # ``m`` stands alone: named twice below, it is computed once
+    both = F.transform("m", lambda x, i: F.zip_with(x, F.coalesce(F.get("m", i + 1), x), lambda a, b: F.least(a, b)))
+    all_masks = F.array(*(F.lit(m) for m in masks))
+    bands = F.transform(both, lambda x: F.zip_with(x, all_masks, lambda low, mask: low.bitwiseXOR(mask)))
+    return minima.select("key", F.explode(F.array_distinct(F.flatten(bands))).alias("band"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = 12, containment: float = 0.8,
@@ -80,24 +89,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     # every window of a template, at each offset: documents may cut it anywhere
     offsets = ours.select("key", F.explode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("s") - 2 * _BLOCK, F.lit(0))), lambda i: F.slice("s", i + 1, 2 * _BLOCK))).alias("s"))
-    bands_of = C.written(offsets.select("key", F.posexplode(F.array(*(
-        F.array_min(F.transform("s", _xor(m))) for m in masks))).alias("k", "low"))
-        .select("key", F.xxhash64("k", "low").alias("band")).distinct())
+    bands_of = C.written(offsets.select("key", F.explode(F.array(*(
+        F.array_min(F.transform("s", _xor(m))).bitwiseXOR(F.lit(m)) for m in masks))).alias("band"))
+        .distinct())
 
     theirs = _hashed(docs, F.col("doc_id").cast("long"), F.col("text"))
-    block = F.sequence(F.lit(0), F.ceil(F.size("s") / _BLOCK).cast("int") - 1)
-    infinite = F.lit(2**63 - 1)
-
-    def minima(b):
-        x = [F.get("s", b * _BLOCK + j) for j in range(_BLOCK)]
-        return F.array(*(_least([F.coalesce(v.bitwiseXOR(F.lit(m)), infinite) for v in x]) for m in masks))
-
-    blocks = theirs.select("key", F.transform(block, minima).alias("m"))
-    pairs = F.sequence(F.lit(0), F.greatest(F.size("m") - 2, F.lit(0)))
-    window = F.transform(pairs, lambda b: F.array(*(
-        F.xxhash64(F.lit(k), F.least(F.get(F.get("m", b), F.lit(k)), F.coalesce(F.get(F.get("m", b + 1), F.lit(k)), infinite)))
-        for k in range(bands))))
-    found = blocks.select("key", F.explode(F.flatten(window)).alias("band"))
+    found = _minima(theirs, masks)
     small = bands_of.count() <= broadcast_rows
     side = bands_of.withColumnRenamed("key", "license")
     hits = found.join(F.broadcast(side) if small else side, "band").select(F.col("key").alias("doc_id"), "license").distinct()
