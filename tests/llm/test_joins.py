@@ -100,6 +100,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert leaks(spark, [(1, mixed), (2, item.replace("5", "8"))], ((1, item),)) == [(2, 1)]
 
 
+def test_leaks_in_another_case(spark):
+    other = ITEM.replace("120", "345").replace("3 hours", "7 hours")
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.title()), (4, other.upper()), (5, other.lower()), (6, "NOTHING " * 40), (7, ITEM)]
+    want = [1, 2, 3, 4, 5, 7]
+    nouns = "wer hat im Garten von Anna den Baum mit den Blumen gesehen und wie viele Blumen standen im Garten bei dem Baum"
+    assert leaks(spark, rows) == [(i, 1) for i in want]
+    assert leaks(spark, rows, ((1, ITEM.upper()), (2, ITEM.lower()))) == [(i, k) for i in want for k in (1, 2)]
+    assert leaks(spark, [(1, nouns.upper()), (2, nouns.lower()), (3, nouns)], ((1, nouns),)) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, []) == [] and leaks(spark, [(1, ITEM)], ()) == []
 

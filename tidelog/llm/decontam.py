@@ -3,7 +3,9 @@
 Words are canonicalised: numbers become <num>, units after a number <unit>,
 words with a capital <name>.  Windows of ``width`` canonical words of the
 documents are hash-joined with those of the benchmark items, so a question with
-other numbers or names still matches.  Aligned placeholders are then compared:
+other numbers or names still matches.  Folded windows, of lower-cased words
+without <name>, are joined as well, so a copy in another case matches; a window
+counts as found by either form.  Aligned placeholders are then compared:
 a re-parameterised copy maps each value of the item to one value of the
 document, and pairs whose mapping is not consistent are dropped.
 
@@ -39,19 +41,30 @@ def _is_number(w: Column) -> Column:
     return (w >= "0") & (w < ":")
 
 
-def canonical(w: Column) -> Column:
-    """The words with typed placeholders."""
+def folded(w: Column) -> Column:
+    """The words in lower case, numbers and units as placeholders."""
     units = F.array(*(F.lit(u) for u in sorted(set(UNITS))))
 
     def one(x, i):
         before = F.get(w, i - 1)
         return (F.when(_is_number(x), "<num>")
                 .when((i > 0) & _is_number(before) & F.array_contains(units, F.lower(x)), "<unit>")
-                .when(F.lower(x) != x, "<name>").otherwise(x))
+                .otherwise(F.lower(x)))
 
     return F.transform(w, one)
 
 
+def canonical(w: Column, low: Column) -> Column:
+    """The words with typed placeholders, from the words and their ``folded`` form."""
+    return F.zip_with(w, low, lambda x, y: F.when(x == y, x).when(y.startswith("<"), y).otherwise("<name>"))
+
+
+def _forms(table: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w, f, c): words, folded and canonical; ``f`` stands alone, so that it is computed once."""
+    split = table.select(F.col(key).cast("long").alias("key"), words(F.col(text)).alias("w")).where("key is not null")
+    return split.select("key", "w", folded(F.col("w")).alias("f")).select("key", "w", "f", canonical(F.col("w"), F.col("f")).alias("c"))
+
+
 def _windows(h: Column, width: int) -> Column:
     """Hash of the window at each start; a text shorter than the width is one window."""
     start = F.sequence(F.lit(0), F.size(h) - width)
@@ -59,30 +72,41 @@ def _windows(h: Column, width: int) -> Column:
 
 
 def _side(table: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, at, hash) of every window."""
-    canon = table.select(F.col(key).cast("long").alias("key"), words(F.col(text)).alias("w")).where("key is not null")
-    hashed = canon.select("key", F.transform(canonical(F.col("w")), lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.select("key", F.posexplode(_windows(F.col("h"), width)).alias("at", "hash"))
+    """(key, at, hash) of every window, canonical and, where that differs, folded."""
+    hashed = _forms(table, key, text).select("key", *(F.transform(x, lambda v: F.xxhash64(v)).alias(x) for x in "cf"))
+    both = hashed.select("key", *(_windows(F.col(x), width).alias(x) for x in "cf"))
+    each = both.select("key", F.size("c").alias("n"), F.posexplode(
+        F.concat("c", F.zip_with("c", "f", lambda a, b: F.when(a != b, b)))).alias("at", "hash"))
+    return each.where("hash is not null").select("key", (F.col("at") % F.col("n")).alias("at"), "hash")
 
 
 def _items(benchmark: DataFrame, width: int, literal: int) -> DataFrame:
-    """(item_id, at, hash, total) of the usable windows of items of at least ``width`` words."""
-    base = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
-            .where("item_id is not null").withColumn("c", canonical(F.col("w"))).withColumn("n", F.size("c")))
-    base = base.where(F.col("n") >= width)
-    windows = base.select("item_id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.col("n") - width), lambda i: F.slice("c", i + 1, width))).alias("at", "c"))
-    solid = F.size(F.filter("c", lambda x: ~x.isin("<num>", "<unit>", "<name>"))) >= literal
-    usable = windows.where(solid).withColumn("hash", F.xxhash64(*(F.xxhash64(F.get("c", F.lit(k))) for k in range(width))))
-    total = usable.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    return usable.select("item_id", "at", "hash").join(total, "item_id")
+    """(item_id, at, hash, total) of the usable windows of items of at least ``width`` words.
+
+    Where capitals leave an item no usable canonical window, as in a text of
+    capitals only, its folded windows are used.
+    """
+    base = _forms(benchmark, "item_id", "text").withColumn("n", F.size("c")).where(F.col("n") >= width)
+    windows = base.select(F.col("key").alias("item_id"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("n") - width),
+        lambda i: F.struct(i.alias("at"), F.slice("c", i + 1, width).alias("c"), F.slice("f", i + 1, width).alias("f")))).alias("v"))
+    windows = windows.select("item_id", "v.*").distinct()
+    for x in "cf":
+        solid = F.size(F.filter(x, lambda v: ~v.isin("<num>", "<unit>", "<name>"))) >= literal
+        one = F.xxhash64(*(F.xxhash64(F.get(x, F.lit(k))) for k in range(width)))
+        windows = windows.withColumn(f"{x}_hash", F.when(solid, one))
+    total = windows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("c_hash").isNotNull(), F.col("at"))).alias("typed"),
+                                           F.countDistinct(F.when(F.col("f_hash").isNotNull(), F.col("at"))).alias("plain"))
+    usable = windows.join(total, "item_id").where("c_hash is not null or typed = 0 and f_hash is not null")
+    return (usable.select("item_id", "at", F.explode(F.array_distinct(F.array("c_hash", "f_hash"))).alias("hash"),
+                          F.when(F.col("typed") > 0, F.col("typed")).otherwise(F.col("plain")).alias("total"))
+            .where("hash is not null"))
 
 
 def _slots(table: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, value) of the placeholders."""
-    both = (table.select(F.col(key).cast("long").alias("key"), words(F.col(text)).alias("w")).withColumn("c", canonical(F.col("w"))))
     value = F.transform("w", lambda x, i: F.when(F.get("c", i).isin("<num>", "<unit>", "<name>"), F.lower(x)))
-    return both.select("key", F.posexplode(value).alias("pos", "value")).where("value is not null")
+    return _forms(table, key, text).select("key", F.posexplode(value).alias("pos", "value")).where("value is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, coverage: float = 0.5,
