@@ -110,6 +110,17 @@ def test_leaks_in_another_case(spark):
     assert leaks(spark, [(1, nouns.upper()), (2, nouns.lower()), (3, nouns)], ((1, nouns),)) == [(1, 1), (2, 1), (3, 1)]
 
 
+def test_a_run_of_words_is_a_leak(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("ban", "den", "fil", "gor", "hus", "jam", "kel", "lin", "mos", "nap")]
+    noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
+    part = lambda a, n: f"{noise} {' '.join(words[a:a + n])} {noise}"
+    slots = "take 5 red apples then 5 green pears then 5 blue plums then 5 old figs then count all of them " + " ".join(words)
+    mixed = "take 1 red apples then 2 green pears then 3 blue plums then 4 old figs"
+    rows = [(1, part(20, 13)), (2, part(20, 12)), (3, part(0, 13)), (4, part(20, 8) + part(40, 8)), (5, part(20, 13).upper())]
+    assert leaks(spark, rows, ((1, " ".join(words)),)) == [(1, 1), (3, 1), (5, 1)]
+    assert leaks(spark, [(1, mixed), (2, mixed.translate(str.maketrans("1234", "8888")))], ((1, slots),)) == [(2, 1)]
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, []) == [] and leaks(spark, [(1, ITEM)], ()) == []
 

@@ -21,7 +21,7 @@ doc_id count as one document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -109,10 +109,24 @@ def _slots(table: DataFrame, key: str, text: str) -> DataFrame:
     return _forms(table, key, text).select("key", F.posexplode(value).alias("pos", "value")).where("value is not null")
 
 
+def _runs(hits: DataFrame, least: int) -> DataFrame:
+    """(doc_id, item_id, part, shift, first, n): at least ``least`` windows of an item, found one after another."""
+    at = ["doc_id", "item_id", "shift"]
+    spots = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q").distinct()
+    order = Window.partitionBy(*at).orderBy("q")
+    runs = (spots.withColumn("run", F.col("q") - F.row_number().over(order)).groupBy(*at, "run")
+            .agg(F.min("q").alias("first"), F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= least))
+    return runs.select("doc_id", "item_id", F.concat_ws(":", "shift", "first").alias("part"), "shift", "first", "n")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, coverage: float = 0.5,
-          consistency: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+          consistency: float = 0.8, broadcast_rows: int = 2_000_000, run_words: int = 13) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, consistency, changed) of leaked items.
 
+    A pair is a leak by ``coverage`` or by one run of at least ``run_words``
+    aligned words in a row, either with consistent placeholders; those of a pair
+    that only a run makes a leak are told of its longest such run.
+
     ``coverage`` is the share of the item's usable windows found in the
     document, ``consistency`` the share of aligned placeholders that follow one
     mapping, ``changed`` the share whose value differs from the item's.
@@ -123,27 +137,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
     side = items.select("item_id", F.col("at").alias("q"), "hash", "total")
     hits = found.join(F.broadcast(side) if small else side, "hash").select("doc_id", "item_id", "p", "q", "total")
     hits = C.written(hits)
-    pairs = (hits.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("n_windows"), F.max("total").alias("total"))
-             .withColumn("coverage", F.col("n_windows") / F.col("total")).where(F.col("coverage") >= coverage))
-    pairs = C.written(pairs)
-    aligned = (hits.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-               .select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q",
+    pair = ["doc_id", "item_id"]
+    counted = (hits.groupBy(*pair).agg(F.countDistinct("q").alias("n_windows"), F.max("total").alias("total"))
+               .withColumn("coverage", F.col("n_windows") / F.col("total")))
+    whole = counted.where(F.col("coverage") >= coverage).selectExpr(*pair, "'' as part", "null as shift", "null as first", "null as n")
+    pairs = C.written(whole.unionByName(_runs(hits, max(1, run_words - width + 1))).join(counted, pair))
+    aligned = (hits.join(pairs.where("part = ''").select(*pair), pair, "left_semi")
+               .select(*pair, F.lit("").alias("part"), (F.col("p") - F.col("q")).alias("shift"), "q",
                        F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
-               .select("doc_id", "item_id", "shift", (F.col("q") + F.col("k")).alias("pos")).distinct())
+               .select(*pair, "part", "shift", (F.col("q") + F.col("k")).alias("pos")).distinct())
+    aligned = aligned.unionByName(pairs.where("part <> ''").select(*pair, "part", "shift", F.explode(
+        F.sequence(F.col("first"), F.col("first") + F.col("n") + (width - 2))).alias("pos")))
     theirs = _slots(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text").distinct()
     ours = _slots(benchmark, "item_id", "text")
     both = (aligned.join(ours.select(F.col("key").alias("item_id"), "pos", F.col("value").alias("item_value")), ["item_id", "pos"])
             .withColumn("pos", F.col("pos") + F.col("shift"))
             .join(theirs.select(F.col("key").alias("doc_id"), "pos", F.col("value").alias("doc_value")), ["doc_id", "pos"]))
-    times = both.groupBy("doc_id", "item_id", "shift", "item_value", "doc_value").agg(F.count(F.lit(1)).alias("n"))
-    mapped = times.groupBy("doc_id", "item_id", "shift", "item_value").agg(
+    times = both.groupBy(*pair, "part", "shift", "item_value", "doc_value").agg(F.count(F.lit(1)).alias("n"))
+    mapped = times.groupBy(*pair, "part", "shift", "item_value").agg(
         F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") != F.col("doc_value"), F.col("n")).otherwise(0)).alias("other"))
-    checked = mapped.groupBy("doc_id", "item_id").agg(
+    checked = mapped.groupBy(*pair, "part").agg(
         (F.sum("most") / F.sum("n")).alias("consistency"), (F.sum("other") / F.sum("n")).alias("changed"))
-    out = pairs.join(checked, ["doc_id", "item_id"], "left")
-    return (out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
-                       F.coalesce("changed", F.lit(0.0)).alias("changed"))
-            .where(F.col("consistency") >= consistency))
+    out = (pairs.join(checked, [*pair, "part"], "left")
+           .withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).withColumn("changed", F.coalesce("changed", F.lit(0.0)))
+           .where(F.col("consistency") >= consistency))
+    # the pair as a whole comes first, then its longest run
+    best = F.max_by(F.struct("consistency", "changed"), F.struct(F.col("part") == "", "n", "consistency", "part"))
+    return (out.groupBy(*pair, "n_windows", "coverage").agg(best.alias("best"))
+            .select(*pair, "n_windows", "coverage", "best.consistency", "best.changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
