@@ -107,6 +107,13 @@ def test_word_windows(spark, width):
     assert got == cut_words(rows, width)
 
 
+def test_unlike_windows_stay(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(k + 1, " ".join(["".join("ab"[b ^ k] for b in bits), *(f"w{i}" for i in range(19))])) for k in (0, 1)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs_of(spark, rows), width=20).collect()}
+    assert got == {1: (20, 0), 2: (20, 0)}
+
+
 def test_equal_rows_keep_one_and_layout_stays(spark):
     text = "one  two\nthree " + " ".join(f"w{i}" for i in range(40))
     got = substring.remove_repeats(docs_of(spark, [(7, text)] * 3 + [(8, "alone\n here")]), width=20, layout=True, carry=("key", "bucket")).collect()

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidelog.llm import decontam, jaccard, licenses
@@ -154,3 +155,53 @@ def test_licenses_equal_brute_force(spark):
     want = {(i, k): contained(t, v) for i, t in rows if t and i is not None for k, v in licenses.TEMPLATES.items() if contained(t, v) >= 0.8}
     assert got == pytest.approx(want) and want
     assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def twins(n=1024):
+    """Two words that sums of powers modulo 2^64 cannot tell apart: a Thue-Morse sequence and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_unlike_words_do_not_link(spark):
+    a, b = twins()
+    rows = [(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z")]
+    got = jaccard.join(docs_of(spark, rows), n=3, percent=90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(1, 5)]
+
+
+def test_null_ids_keep_groups_apart(spark):
+    x, y, z = "one two three four", "five six seven eight", "none of these has an id"
+    rows = [(None, x), (5, x), (None, y), (6, y), (None, z), (None, z), (-2**63, "the least id of all")]
+    join = jaccard.Join(docs_of(spark, rows), n=3, percent=90)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in join.documents().collect())
+    assert got == sorted([("None", "5"), ("5", "5"), ("None", "6"), ("6", "6"), ("None", "None"), ("None", "None"), (str(-2**63), str(-2**63))])
+    assert sorted((str(r.doc_id), r.text) for r in join.kept().collect()) == sorted(
+        [("5", x), ("6", y), ("None", z), (str(-2**63), rows[-1][1])])
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_large_groups_with_members_apart(spark, percent):
+    """Chains around hubs: members that link with others but not with the hub, and unlike texts with one line in common."""
+    rng = random.Random(percent)
+    rows, base = [], [f"w{i}" for i in range(60)]
+    for i in range(70):
+        words = list(base)
+        at, n = rng.randrange(60), rng.choice([0, 1, 1, 2, 3, 6, 9])
+        words[at:at + n] = [f"c{at}"] * n
+        rows.append((i, " ".join(words)))
+    line = [f"line{k}" for k in range(14)]
+    rows += [(100 + i, " ".join([f"own{i}k{k}" for k in range(40)] + line)) for i in range(60)]
+    rows += [(200 + i, " ".join([f"own{i}k{k}" for k in range(40)] + line + ["end"])) for i in range(0, 60, 7)]
+    got = jaccard.join(docs_of(spark, rows), n=3, percent=percent, all_pairs=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, percent)
+
+
+def test_sketches_bound_the_difference():
+    sketches = jaccard.Sketches(80)
+    rng = random.Random(3)
+    for _ in range(200):
+        pool = np.array([rng.getrandbits(64) for _ in range(600)], np.uint64)
+        a, b = (np.unique(pool[rng.sample(range(600), rng.randint(1, 600))]) for _ in range(2))
+        near = int(sketches.apart(sketches.of(a), sketches.of(b)[None])[0])
+        assert near <= len(np.setxor1d(a, b)) and (near == 0 or len(np.setxor1d(a, b)))

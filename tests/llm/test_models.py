@@ -52,6 +52,8 @@ def test_lm_counts_and_scores(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["a", "B", "c", "dé", "e"]) + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 40))), "en") for i in range(80)]
     rows += [(None, "a b", "en"), (100, None, None), (101, "", "en"), (3, rows[3][1], "en"), (102, "a " * 5000, "en")]
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows += [(200 + k, "".join("ab"[b ^ (k % 2)] for b in bits) + " c", "en") for k in range(8)]
     seen = []
     monkeypatch.setattr(lm, "weights", lambda cells, v, real=lm.weights: seen.append(real(cells, v)) or seen[-1])
     got = lm.score(docs_of(spark, rows)).collect()
@@ -96,6 +98,8 @@ def test_quality_counts(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice(["a ", "b ", "é", "\n", "日 ", "# ", "\t", "A", "\x0b", " x", "\x1c"]) for _ in range(rng.randint(0, 80))), "en") for i in range(200)]
     rows += [(None, "a a a a", "en"), (300, None, None), (301, "", "en"), (302, "\n\n \n", "en"), (303, "ab " * 20000, "en"), (5, "twin", "en"), (5, "twin", "en")]
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows += [(400, " x y ".join("".join("ab"[b ^ k] for b in bits) for k in (0, 1)) + " x y", "en")]
     got = quality.judge(docs_of(spark, rows)).collect()
     own = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got)
     assert own == sorted((str(i), *brute_features(t)) for i, t, _ in rows)

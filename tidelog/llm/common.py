@@ -4,10 +4,16 @@ A *chunk* is one row that packs a few megabytes of whole documents.  Chunks
 are written once as a table bucketed by ``chunk_id`` in the shared scratch
 folder, so later passes read a chunk without shuffling its text again.
 
-``exchange`` sends each chunk's sorted distinct 64-bit keys (with attributes)
-to hash buckets and each bucket's answers back.  A key is sent at most once
-per chunk, however often it occurs, so a hot key adds one entry per chunk to
-its bucket and never a row per occurrence.
+Each chunk sends its sorted distinct 64-bit keys (with attributes) to hash
+buckets (``blocks``, ``reduced``) and gets each bucket's answers back
+(``with_answers``).  A key is sent at most once per chunk, however often it
+occurs, so a hot key adds one entry per chunk to its bucket and never a row per
+occurrence.
+
+Words are named by the 128-bit xxh3 hash of their bytes, in two halves.  Runs of
+words are named by mixing those names pair by pair, so equal names of unlike runs
+are accidents of a random function, without the collisions that sums of powers
+have.  Operators that remove or link on equal names compare both halves.
 """
 
 from __future__ import annotations
@@ -15,9 +21,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +40,11 @@ BLOCK_SCHEMA = "bucket int, chunk_id long, payload binary"
 
 _seeds = np.random.RandomState(20240229)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD1B54A32D192ED03)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BYTE = _seeds.randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -43,12 +52,21 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # -- scratch ---------------------------------------------------------------
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (a temporary one if unset)."""
+    """A new folder below ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where that is unset a local session makes one; on a cluster it is an error,
+    as executors would not share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,20 +82,26 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def written_by(df: DataFrame, key: str) -> DataFrame:
-    """As ``written``, bucketed by ``key``: joins on it need no shuffle of this side."""
+    """As ``written``, bucketed by ``key``: joins on it need no shuffle of this side.
+
+    Buckets need a table; the files are its only lasting part, so the catalogue
+    forgets the name as soon as the table is read.
+    """
     spark = df.sparkSession
     name = f"tidelog_{uuid.uuid4().hex}"
     (df.write.format("parquet").option("compression", "zstd").option("path", scratch(spark))
        .bucketBy(partitions(spark), key).saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 # -- chunks ----------------------------------------------------------------
 
 def cut(batches, chunk_bytes: int = CHUNK_BYTES):
-    """Batches of (id, text, more columns) as pieces: ids, lengths, joined texts, the other columns."""
+    """Batches of (id, text, more columns) as pieces: ids and which are null, lengths, joined texts, the other columns."""
     for batch in batches:
-        ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        ids, null = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
         bodies = batch.column(1).cast(pa.large_binary()).fill_null(b"")
         lens = np.diff(np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)) if len(ids) else ids
         ends = np.cumsum(lens)
@@ -87,14 +111,15 @@ def cut(batches, chunk_bytes: int = CHUNK_BYTES):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
             to = min(to, at + (1 << REF_BITS))
-            yield ids[at:to], lens[at:to], b"\n".join(bodies[at:to].to_pylist()) + b"\n", carried.slice(at, to - at)
+            yield (ids[at:to].tobytes() + null[at:to].tobytes(), lens[at:to].tobytes(),
+                   b"\n".join(bodies[at:to].to_pylist()) + b"\n", carried.slice(at, to - at))
             at = to
 
 
 def pieces(batches, chunk_bytes: int = CHUNK_BYTES):
     """Chunks of a task's own batches, for operators that need no exchange."""
     for ids, lens, body, carried in cut(batches, chunk_bytes):
-        yield Chunk(0, ids.tobytes(), lens.tobytes(), body, b""), carried
+        yield Chunk(0, ids, lens, body, b""), carried
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -111,7 +136,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             with pa.ipc.new_stream(rest, carried.schema) as out:
                 out.write_table(carried)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << REF_BITS) | k]), pa.array([ids.tobytes()]), pa.array([lens.tobytes()]),
+                [pa.array([(part << REF_BITS) | k]), pa.array([ids]), pa.array([lens]),
                  pa.array([body], pa.binary()), pa.array([rest.getvalue().to_pybytes()], pa.binary())],
                 names=["chunk_id", "ids", "lens", "body", "rest"])
 
@@ -126,13 +151,21 @@ class Chunk:
     def __init__(self, chunk_id, ids, lens, body, rest):
         self._rest = rest
         self.id = chunk_id
-        self.ids = np.frombuffer(ids, np.int64)
         self.lens = np.frombuffer(lens, np.int64)
+        #: Null ids sort first: they stand as the least number, and ``null`` tells them from it.
+        self.ids = np.frombuffer(ids, np.int64, len(self.lens))
+        self.null = np.frombuffer(ids, bool, len(self.lens), 8 * len(self.lens))
         self.body = body
         self.data = np.frombuffer(body, np.uint8)
         self.ends = np.cumsum(self.lens + 1) - 1
         self.starts = self.ends - self.lens
 
+    @classmethod
+    def of(cls, texts: list[bytes]) -> "Chunk":
+        """A chunk of texts without ids."""
+        n = len(texts)
+        return cls(0, bytes(9 * n), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(t + b"\n" for t in texts), b"")
+
     def rest(self) -> pa.Table:
         """The carried columns, a row for each document."""
         return pa.ipc.open_stream(self._rest).read_all()
@@ -140,28 +173,41 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.body[self.starts[i]:self.ends[i]]
 
-    def words(self, lower: bool = False):
-        """Words between ASCII white space: (hash, start, end, first word of each document + total)."""
+    def words(self, lower: bool = False) -> "Words":
+        """Words between ASCII white space."""
         space = _SPACE[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate([[0], edge])
         start, end = edge[0::2], edge[1::2]
-        n = len(self.data)
-        power = powers(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((_LOWER if lower else _BYTE)[self.data] * power[:n], out=total[1:])
-        h = (total[end] - total[start]) * inverse_powers(n)[start]
-        first = np.searchsorted(start, np.append(self.starts, n))
-        return mix(h + (end - start).astype(np.uint64)), start, end, first
+        letters = self.data[~space]
+        if lower:
+            letters = _FOLD[letters]
+        ends = np.concatenate([[0], np.cumsum(end - start)])
+        column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        distinct, (_, cuts, raw) = column.dictionary, column.dictionary.buffers()
+        cuts, raw = np.frombuffer(cuts, np.int64, len(distinct) + 1).tolist(), (raw or b"") and raw.to_pybytes()
+        names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(cuts, cuts[1:])]), np.uint64).reshape(-1, 2)
+        which = column.indices.to_numpy()
+        return Words(names[which, 0], names[which, 1], start, end, np.searchsorted(start, np.append(self.starts, len(self.data))))
 
     def ids_column(self) -> pa.Array:
-        return pa.array(self.ids, pa.int64(), mask=self.ids == NULL_ID)
+        return pa.array(self.ids, pa.int64(), mask=self.null)
 
     def remainders(self, modulus: int) -> np.ndarray:
         """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
-        return np.array([zlib.crc32(b"" if x == NULL_ID else str(x).encode()) % modulus for x in self.ids.tolist()], np.int64)
+        return np.array([zlib.crc32(b"" if null else str(x).encode()) % modulus
+                         for x, null in zip(self.ids.tolist(), self.null.tolist())], np.int64)
+
+
+class Words(NamedTuple):
+    """Words of a chunk: both halves of their names, bounds, and each document's first word (and the total)."""
+
+    name: np.ndarray
+    other: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
 
 
 def chunks_of(batches):
@@ -204,29 +250,24 @@ def inverse_powers(n: int) -> np.ndarray:
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` values (by doubling, so O(log width) passes)."""
+    """Names of all runs of ``width`` named values (by doubling, so O(log width) passes)."""
     if len(h) < width:
         return np.zeros(0, np.uint64)
     out, have, block, size = None, 0, h, 1
-    base = _ODD
     while True:
         if width & size:
             if out is None:
                 out, have = block, size
             else:
                 n = len(h) - have - size + 1
-                out = out[:n] * _power(size) + block[have:have + n]
+                out = mix(out[:n] * _ODD + block[have:have + n] * _TURN)
                 have += size
         if have == width:
-            return mix(out)
-        block = block[:len(block) - size] * _power(size) + block[size:]
+            return mix(out + _ODD)
+        block = mix(block[:len(block) - size] * _ODD + block[size:] * _TURN)
         size *= 2
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_ODD), n, 2**64))
-
-
 # -- packing ---------------------------------------------------------------
 
 _KINDS = [np.dtype(x) for x in ("u1", "i1", "u2", "i2", "u4", "i4", "u8", "i8", "f4", "f8")]

@@ -38,7 +38,8 @@ class _Tokens:
     """A chunk's tokens and its distinct keys; unigram keys are odd, bigram keys even."""
 
     def __init__(self, chunk: C.Chunk):
-        h, _, _, first = chunk.words(lower=True)
+        words = chunk.words(lower=True)
+        h, first = words.name, words.first
         n_docs = len(chunk.ids)
         self.length = np.diff(first) + 1
         self.ends = np.cumsum(self.length) - 1

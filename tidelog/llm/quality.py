@@ -52,11 +52,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The counts of ``FEATURES`` for each document."""
 
     def run(batches):
-        stop = np.sort(C.Chunk(0, np.zeros(1, np.int64).tobytes(), np.array([len(" ".join(STOP_WORDS).encode())], np.int64).tobytes(),
-                               " ".join(STOP_WORDS).encode() + b"\n", b"").words(lower=True)[0])
+        stop = np.sort(C.Chunk.of([" ".join(STOP_WORDS).encode()]).words(lower=True).name)
         for chunk, _ in C.pieces(batches):
-            h, _, _, first = chunk.words()
-            low = chunk.words(lower=True)[0]
+            words = chunk.words()
+            h, first = words.name, words.first
+            low = chunk.words(lower=True).name
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
             salt = C.mix(np.arange(1, len(n) + 1, dtype=np.uint64))

@@ -5,7 +5,7 @@ cover D modulo p, any two windows of equal words at starts i and j have an
 offset d < p with both (i + d) mod p and (j + d) mod p in D.  So only the
 positions in D are hashed (4 of 13), as anchors of ``width - p + 1`` words, and
 equal windows share an aligned anchor.  Anchors found twice are then extended:
-the whole windows around them are hashed and compared.
+the whole windows around them are named by 128 bits and compared.
 
 The first pass sends each chunk's distinct anchors, the second only windows
 that hold a repeated anchor.  A word of a window goes if the same words start
@@ -41,7 +41,8 @@ class _Windows:
 
     def __init__(self, chunk: C.Chunk, width: int):
         self.chunk, self.width, self.period = chunk, width, _period(width)
-        self.h, _, _, self.first = chunk.words()
+        words = chunk.words()
+        self.h, self.other, self.first = words.name, words.other, words.first
         n = len(self.h)
         self.length = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.length)), self.length)
@@ -55,7 +56,7 @@ class _Windows:
             all_anchors[self.places], return_inverse=True, return_counts=True)
 
     def candidates(self, repeated: np.ndarray):
-        """Starts of windows that hold a repeated anchor, and the distinct window hashes."""
+        """Starts of windows that hold a repeated anchor, and the distinct windows by both halves of their names."""
         n = len(self.h)
         mark = np.zeros(n + self.period + 1, np.int32)
         mark[self.places[repeated[self.which].astype(bool)]] = 1
@@ -67,8 +68,11 @@ class _Windows:
         rank = self.ranks()
         order = np.argsort(rank[self.doc[start]], kind="stable")
         self.start = start[order]
-        self.keys, self.earliest, self.window = np.unique(
-            C.windows(self.h, self.width)[self.start], return_index=True, return_inverse=True)
+        key, second = (C.windows(x, self.width)[self.start] for x in (self.h, self.other))
+        order = np.lexsort((second, key))
+        k, s = key[order], second[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]) if len(k) else np.zeros(0, bool)
+        self.keys, self.second, self.earliest = k[new], s[new], order[new]
 
     def ranks(self) -> np.ndarray:
         self.salt = np.array([xxhash.xxh32_intdigest(self.chunk.text(i)) for i in range(len(self.length))], np.uint32)
@@ -96,12 +100,12 @@ def _repeated(keys, owner, columns):
 
 
 def _earliest(keys, owner, columns):
-    doc, salt, start = columns
-    order = np.lexsort((owner, start, salt, doc, keys))
-    k = keys[order]
+    second, doc, salt, start = columns
+    order = np.lexsort((owner, start, salt, doc, second, keys))
+    k, s = keys[order], second[order]
     out = np.zeros(len(keys), np.uint8)
     if len(k):
-        out[order[np.concatenate([[True], k[1:] != k[:-1]])]] = 1
+        out[order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]] = 1
     return [out], None
 
 
@@ -135,7 +139,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         w.candidates(parts(answers)[0])
         at = w.start[w.earliest]
         doc = w.doc[at]
-        return pa.Table.from_batches([C.blocks(chunk.id, nb, w.keys, chunk.ids[doc], w.salt[doc], w.at[at].astype(np.uint32))])
+        return pa.Table.from_batches([C.blocks(chunk.id, nb, w.keys, w.second, chunk.ids[doc], w.salt[doc], w.at[at].astype(np.uint32))])
 
     sent = C.with_answers(chunks, repeated, extend, C.BLOCK_SCHEMA)
     owned = C.reduced(sent, _earliest)
