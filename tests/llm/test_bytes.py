@@ -66,7 +66,7 @@ def passages(rng, n=50):
     return rows + rows[10:13]
 
 
-@pytest.mark.parametrize("length,hot", [(20, 4096), (20, 3), (7, 2), (1, 4096)])
+@pytest.mark.parametrize("length,hot", [(20, 4096), (20, 3), (20, 10), (20, 1), (7, 2), (1, 4096), (20, 2048)])
 def test_exact_removal(spark, length, hot):
     rows = passages(random.Random(length))
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])

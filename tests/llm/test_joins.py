@@ -122,6 +122,23 @@ def test_a_run_of_words_is_a_leak(spark):
     assert leaks(spark, [(1, mixed), (2, mixed.translate(str.maketrans("1234", "8888")))], ((1, slots),)) == [(2, 1)]
 
 
+def test_short_and_slot_heavy_items(spark):
+    items = ((1, "how far is the moon"), (2, "Add 3 to 4 then to 5"), (3, "At 7 Anna gave 12 to Bob and 15 to Carl and 9 to Dora at 8"), (4, "no"))
+    noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
+    rows = [(1, f"{noise} how far is the moon {noise}"), (2, "HOW FAR IS THE MOON"), (3, f"{noise} how far is the sun"), (4, f"{noise} no"),
+            (5, "Add 12.5 to 1,250 then to 5"), (6, "At 7.5 Eva gave 1,200 to Fred and 15 to Gus and 9 to Hal at 8"), (7, noise)]
+    assert leaks(spark, rows, items) == [(1, 1), (2, 1), (5, 2), (6, 3)]
+
+
+def test_other_column_names(spark):
+    docs = spark.createDataFrame([("7", ITEM, 1), ("8", "something else", 2)], "name string, body string, item_id int")
+    bench = spark.createDataFrame([(1, ITEM)], "no long, question string")
+    got = decontam.leaks(docs.withColumnRenamed("body", "question"), bench, id_col="name", item_col="no", text_col="question").collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(7, 1)]
+    kept = decontam.clean(docs.withColumnRenamed("body", "question"), bench, id_col="name", item_col="no", text_col="question")
+    assert [r.name for r in kept.collect()] == ["8"] and kept.columns == ["name", "question", "item_id"]
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, []) == [] and leaks(spark, [(1, ITEM)], ()) == []
 
@@ -153,10 +170,30 @@ def test_licenses_equal_brute_force(spark):
     rows += [(900, None), (901, ""), (902, "MIT"), (None, licenses.TEMPLATES["mit"]), (903, "Released under the MIT License. " * 3000)]
     got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs_of(spark, rows)).collect()}
     want = {(i, k): contained(t, v) for i, t in rows if t and i is not None for k, v in licenses.TEMPLATES.items() if contained(t, v) >= 0.8}
-    assert got == pytest.approx(want) and want
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 40
+    assert got == pytest.approx({k: want[k] for k in got})
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_edited_copies_and_parts_of_licences_are_retrieved(spark):
+    """Recall of the bands, measured on passages with words changed, inside other text, at every offset."""
+    rng = random.Random(5)
+    rows, i = [], 0
+    for name, body in licenses.TEMPLATES.items():
+        for _ in range(12):
+            own = body.split()
+            for _ in range(rng.randint(0, max(len(own) // 25, 0))):
+                own[rng.randrange(len(own))] = "changed"
+            noise = lambda: [f"w{rng.randint(0, 50)}" for _ in range(rng.randint(0, 30))]
+            rows.append((i, " ".join([*noise(), *own, *noise()])))
+            i += 1
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs_of(spark, rows)).collect()}
+    want = {(i, k) for i, t in rows for k, v in licenses.TEMPLATES.items() if contained(t, v) >= 0.8}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 400
+    two = licenses.scan(docs_of(spark, rows + rows), broadcast_rows=0).collect()
+    assert {(r.doc_id, r.license) for r in two} == got and len(two) == len(got)
+
+
 def twins(n=1024):
     """Two words that sums of powers modulo 2^64 cannot tell apart: a Thue-Morse sequence and its complement."""
     bits = [bin(i).count("1") % 2 for i in range(n)]

@@ -64,6 +64,34 @@ def test_lm_counts_and_scores(spark, monkeypatch):
     assert lm.score(docs_of(spark, [])).count() == 0
 
 
+def brute_cells(rows):
+    """What EM learns from: tokens of fold 9 by bucket of their context and their two estimates from the other training folds."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    uni, bi, ctx, out = Counter(), Counter(), Counter(), Counter()
+    texts = [(fold(i), WORD.findall(lower(t)) + [None]) for i, t, _ in rows]
+    for f, w in texts:
+        if f not in (0, 9):
+            uni.update(w)
+            bi.update(zip([0, *w], w))
+            ctx.update([0, *w[:-1]])
+    n = sum(uni.values())
+    grid = lambda p: min(round(-8 * math.log2(p)), lm._NONE - 1) if p > 0 else lm._NONE
+    for f, w in texts:
+        if f == 9:
+            for a, b in zip([0, *w], w):
+                out[math.frexp(ctx[a])[1] if ctx[a] else 0, grid(bi[a, b] / max(ctx[a], 1)), grid(uni[b] / n)] += 1
+    return out
+
+
+def test_lm_learns_from_the_deleted_fold(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["a", "B", "c", "d", "e"]) + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 40))), "en") for i in range(150)]
+    seen = []
+    monkeypatch.setattr(lm, "weights", lambda cells, v, real=lm.weights: seen.append(cells) or real(cells, v))
+    lm.score(docs_of(spark, rows)).count()
+    assert Counter({(b, p2, p1): n for b, p2, p1, n in seen[0]}) == brute_cells(rows)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got) + 10
@@ -108,6 +136,49 @@ def test_quality_counts(spark):
     assert quality.judge(docs_of(spark, [])).count() == 0
 
 
+def brute_verdicts(rows):
+    """(quality, kept) of feature rows by expectation-maximisation, one document at a time."""
+    order = ("length", "word_size", "symbols", "lines", "repeats", "capitals", "letters", "stop_words", "variety")
+
+    def vote(r):
+        w, letters, chars = max(r.n_words, 1), max(r.n_letters, 1), max(r.word_chars, 1)
+        tests = {"length": (r.n_words < 50, r.n_words >= 100), "symbols": (r.n_symbols / w > 0.1, r.n_symbols / w < 0.02),
+                 "word_size": (not 2.5 <= r.word_chars / w <= 11, 3.5 <= r.word_chars / w <= 8),
+                 "lines": (r.n_dup_lines / max(r.n_lines, 1) > 0.3, r.n_dup_lines == 0),
+                 "repeats": (r.n_repeat_words / w > 0.3, r.n_repeat_words / w < 0.1),
+                 "capitals": (r.n_upper / letters > 0.3, r.n_upper / letters < 0.1),
+                 "letters": (r.n_letters / chars < 0.7, r.n_letters / chars > 0.9),
+                 "stop_words": (r.n_stop / w < 0.05, r.n_stop / w > 0.15),
+                 "variety": (r.n_distinct / w < 0.2 and r.n_words < 5000, r.n_distinct / w > 0.3)}
+        return [1 if tests[k][0] else 2 if tests[k][1] else 0 for k in order]
+
+    votes = [vote(r) for r in rows]
+    presumed = quality.PRIOR
+    table = [[list(p) for _ in order] for p in presumed]
+    prior = [0.3, 0.7]
+    strength = [0.3 * len(rows) * p + 1 for p in prior]
+    for _ in range(100):
+        post = []
+        for v in votes:
+            p = [prior[c] * math.prod(table[c][k][x] for k, x in enumerate(v)) for c in (0, 1)]
+            post.append([x / sum(p) for x in p])
+        prior = [(sum(p[c] for p in post) + 1) / (len(post) + 2) for c in (0, 1)]
+        for c in (0, 1):
+            for k in range(len(order)):
+                got = [presumed[c][x] * strength[c] for x in range(3)]
+                for v, p in zip(votes, post):
+                    got[v[k]] += p[c]
+                table[c][k] = [x / sum(got) for x in got]
+    return [(p[1], not r.base_failed and p[1] >= 0.5) for r, p in zip(rows, post)]
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = quality.judge(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    want = brute_verdicts(rows)
+    assert [r.quality for r in rows] == pytest.approx([q for q, _ in want], abs=1e-9)
+    assert [r.kept for r in rows] == [k for _, k in want]
+
+
 def test_label_model_recovers_the_classes():
     rng = np.random.default_rng(3)
     good = rng.random(4000) < 0.75
@@ -160,6 +231,79 @@ def test_spans_of_mixed_text_and_edge_cases(spark):
     assert langid.label(docs_of(spark, []), model).count() == 0
 
 
+def brute_label(text, model, penalty=12.0):
+    """The label by plain dynamic programming over all words of one text."""
+    scripts = [c for c, _ in langid.SCRIPTS]
+    gram = {g: model.scores[i].astype(float) for i, g in enumerate(model.grams.tolist())}
+    words, at = [], 0
+    while text and at < len(text):
+        end = at
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        if end > at:
+            words.append(text[at:end])
+        at = end + 1
+    if not words:
+        return "und"
+    k, rows = len(model.languages), []
+    for w in words:
+        low = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in w), 0]
+        row = np.zeros(k)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            row += gram.get(a << 42 | b << 21 | c, 0)
+        script = langid.NAMES.index(langid.SCRIPTS[max(sum(x <= low[1] for x in scripts) - 1, 0)][1])
+        ok = model.scripts[script]
+        rows.append(np.where(ok, row, row - 20) if ok.any() else np.zeros(k))
+    best, back = rows[0], []
+    for row in rows[1:]:
+        jump = best.max() - penalty
+        back.append([j if best[j] >= jump else int(best.argmax()) for j in range(k)])
+        best = np.maximum(best, jump) + row
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    letters = Counter()
+    for w, label in zip(words, reversed(path)):
+        letters[model.languages[label]] += len(w)
+    top = max(letters.values())
+    return min(name for name, n in letters.items() if n == top)
+
+
+def test_labels_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    rows = [(r.doc_id, r.text, None) for r in docs.collect() if r.text and len(r.text) < 6000]
+    rows += [(10_000 + i, f"{a[1][:300]}. {b[1][:250]} {c[1][:40]}", None) for i, (a, b, c) in enumerate(zip(rows, rows[7:], rows[31:]))]
+    got = {r.doc_id: r.lang_pred for r in langid.label(docs_of(spark, rows), model).collect()}
+    assert got == {i: brute_label(t, model) for i, t, _ in rows}
+
+
+def test_scripts_of_all_planes(spark):
+    alphabets = {"han": "".join(map(chr, range(0x20000, 0x20040))), "deseret": "".join(map(chr, range(0x10400, 0x10428))),
+                 "el": "αβγδεζηθικλμν", "ru": "абвгдежзикл", "ka": "აბგდევზთ", "ja": "あいうえおかきく"}
+    rng = random.Random(8)
+    text = lambda name: " ".join("".join(rng.choice(alphabets[name]) for _ in range(5)) for _ in range(12))
+    rows = [(10 * k + j, text(name), name) for k in range(20) for j, name in enumerate(alphabets)]
+    model = langid.fit(docs_of(spark, rows))
+    assert model.languages == sorted(alphabets)
+    probe = [(i, text(name), None) for i, name in enumerate(alphabets)] + [(50, text("han") + " " + text("ru") * 3, None)]
+    got = {r.doc_id: r for r in langid.label(docs_of(spark, probe), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == list(alphabets) and got[50].lang_pred == "ru"
+    assert [s.lang for s in got[50].spans] == ["han", "ru"]
+
+
+def test_two_hundred_languages(spark):
+    rng = random.Random(9)
+    own = {f"x{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(30)] for k in range(200)}
+    text = lambda name: " ".join(rng.choice(own[name]) for _ in range(40))
+    rows = [(1000 * k + j, text(name), name) for k in range(4) for j, name in enumerate(own)]
+    model = langid.fit(docs_of(spark, rows))
+    assert len(model.languages) == 200
+    probe = [(j, text(name), None) for j, name in enumerate(own)]
+    got = {r.doc_id: r.lang_pred for r in langid.label(docs_of(spark, probe), model).collect()}
+    assert np.mean([got[j] == name for j, name in enumerate(own)]) > 0.98
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
@@ -179,22 +323,84 @@ def distance(a, b):
     return row[-1]
 
 
+def brute_match(word, words, stems, fuzzy_from=5):
+    """Terms that accept a word: within one edit, or a stem within one edit of a beginning."""
+    found = {}
+    for w in words:
+        d = distance(word, w)
+        if d == 0 or d == 1 and len(w) >= fuzzy_from:
+            found[w, "word"] = d
+    for w in stems:
+        d = min(distance(word[:k], w) for k in range(len(word) + 1))
+        if d == 0 or d == 1 and len(w) >= fuzzy_from:
+            found[w, "stem"] = d
+    return found
+
+
 def test_automaton_equals_edit_distance():
-    words, stems = ["badword", "nasty", "foe"], ["slimy"]
+    words, stems = ["badword", "nasty", "foe", "aé"], ["slimy", "mud"]
     machine = toxicity.Automaton(words, stems)
     rng = random.Random(6)
     for _ in range(3000):
         base = list(rng.choice([*words, *stems, "plain"]))
         for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(base) + 1)
-            base[k:k + rng.randint(0, 1)] = [rng.choice("abdnsz")] * rng.randint(0, 1)
-        word = "".join(base)
+            base[k:k + rng.randint(0, 1)] = [rng.choice("abdnszé")] * rng.randint(0, 1)
+        word = "".join(base) + rng.choice(["", "", "s", "ish"])
         code = np.array([ord(c) for c in word], np.int64)
         term, exact = machine.match(machine.classes[code], np.array([0]), np.array([len(word)]))
-        hits = {w for w in words if word == w or len(w) >= 5 and distance(word, w) <= 1} | {s for s in stems if word.startswith(s)}
+        hits = brute_match(word, words, stems)
         assert (term[0] >= 0) == bool(hits), word
         if hits:
-            assert machine.terms[term[0]][0] in hits and exact[0] == (word in words or word.startswith("slimy")), word
+            assert machine.terms[term[0]] in hits and exact[0] == (min(hits.values()) == 0), word
+            assert hits[machine.terms[term[0]]] == min(hits.values())
+
+
+def brute_score(text, model):
+    """A document's score by comparing each word with each term."""
+    words = [(m.start(), m.group().lower()) for m in re.finditer(r"(?:[^\W_]|[0-9])+", text or "")]
+    terms, evidence = model.automaton.terms, 0.0
+    for i, (at, word) in enumerate(words):
+        hits = brute_match(word, [t for t, k in terms if k == "word"], [t for t, k in terms if k == "stem"])
+        if not hits:
+            continue
+        least = min(hits.values())
+        term = min(terms.index(t) for t, d in hits.items() if d == least and len(t[0]) == max(len(u[0]) for u, e in hits.items() if e == least))
+        marks = [k for k, c in enumerate(text[:at]) if c in "\"“”«»„"]
+        quoted = len(marks) % 2 == 1 and at - marks[-1] <= 120 or any(w in model.reporting for _, w in words[max(i - 3, 0):i])
+        evidence += model.weights[term, int(least == 0)] * (model.quoted if quoted else 1)
+    a, per_length, b = model.curve
+    return 1 / (1 + math.exp(-(a * math.log1p(evidence) + per_length * math.log1p(len(words)) + b)))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    rng = random.Random(12)
+    pool = ["calm", "river", "scumbag", "scumbags", "scunbag", "\"", "\"", "said", "word", "green", "scum", "bag.", "Scumbag!"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))), None) for i in range(150)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, rows), model).collect()}
+    assert got == pytest.approx({i: brute_score(t, model) for i, t, _ in rows})
+
+
+def test_inflected_and_rare_terms_are_learned(spark):
+    """Forty terms, each in few toxic documents, some with endings; misspelt ones count too."""
+    rng = random.Random(13)
+    terms = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    calm = ["calm", "river", "house", "green", "walks", "slowly", "under", "bridge", "stone"]
+    rows, labels = [], []
+    for i in range(2800):
+        words = [rng.choice(calm) for _ in range(30)]
+        if i % 4 == 0:
+            words[rng.randrange(30)] = terms[i // 4 % 40] + rng.choice(["", "s", "ing"])
+        rows.append((i, " ".join(words) + f" n{i}", "en"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    extra = [(5000, 1, 2), (0, 1, 1), (1, 1, 1)]  # a third label; an id labelled twice alike, and one labelled both ways
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels + extra, "doc_id long, quality int, toxic int"))
+    bad = [(i, " ".join([*calm, t[:3] + "q" + t[4:], *calm]), None) for i, t in enumerate(terms)]
+    got = toxicity.score(docs_of(spark, bad + [(99, " ".join(calm * 3), None)]), model).collect()
+    score = {r.doc_id: r.score for r in got}
+    assert np.mean([score[i] >= 0.7 for i in range(40)]) > 0.9 and score[99] < 0.3
 
 
 def labelled(spark, n=400):

@@ -210,20 +210,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         vocab = vocabulary(path)
+        sweeps = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and each sweep would walk the whole cache
-        for batch in batches:
-            lens = np.frombuffer(batch.column(1).cast(pa.large_string()).fill_null("").buffers()[1], np.int64,
-                                 batch.num_rows + 1) if batch.num_rows else np.zeros(1, np.int64)
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(lens, lens[at] + _SLICE, "right")) - 1)
-                some = batch.slice(at, to - at)
-                ids = vocab.encode_batch([t or "" for t in some.column(1).to_pylist()])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.ListArray.from_arrays(ends, flat), pa.array([vocab.decode(own) for own in ids], pa.string())],
-                    names=["doc_id", "ids", "decoded"])
-                at = to
+        try:
+            for batch in batches:
+                yield from encoded(vocab, batch)
+        finally:
+            if sweeps:  # the worker may be used again for something else
+                gc.enable()
+
+    def encoded(vocab, batch):
+        lens = np.frombuffer(batch.column(1).cast(pa.large_string()).fill_null("").buffers()[1], np.int64,
+                             batch.num_rows + 1) if batch.num_rows else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(lens, lens[at] + _SLICE, "right")) - 1)
+            some = batch.slice(at, to - at)
+            ids = vocab.encode_batch([t or "" for t in some.column(1).to_pylist()])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.ListArray.from_arrays(ends, flat), pa.array([vocab.decode(own) for own in ids], pa.string())],
+                names=["doc_id", "ids", "decoded"])
+            at = to
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("b")).mapInArrow(run, SCHEMA)

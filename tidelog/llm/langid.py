@@ -1,13 +1,13 @@
 """Language spans of mixed text: script ranges, per-word scores, Viterbi.
 
-Scripts (Unicode ranges) narrow a word's candidates to languages that use its
-script in training.  A word's score under a language is the sum over its letter
-trigrams of their log probability relative to the mean of the languages.  A
-Viterbi pass over a document's words pays ``penalty`` for each change of language
-and so labels spans.  Most documents need no pass: if no language gains more
-than half the penalty on the best one over any run of words, a constant label is
-optimal (m changes make m + 1 runs), and that test is a running minimum over all
-documents of a chunk.
+Scripts (Unicode ranges of all planes) narrow a word's candidates to languages
+that use its script in training.  A word's score under a language is the sum over
+its letter trigrams, of code points, of their log probability relative to the mean
+of the languages; a chunk's distinct words are scored once.  A Viterbi pass over a
+document's words pays ``penalty`` for each change of language and so labels spans.
+Most documents need no pass: if no language gains more than half the penalty on
+the best one over any run of words, a constant label is optimal (m changes make
+m + 1 runs), and that test is a running minimum over all documents of a chunk.
 
 The model is fitted on at most ``max_docs`` labelled documents outside the
 held-out fold, chosen by a hash of their id; everything is labelled.
@@ -30,26 +30,37 @@ from . import common as C
 
 #: First code point of each range and its script; fixed values.
 SCRIPTS = ((0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
-           (0x0600, "Arabic"), (0x0900, "Indic"), (0x0E00, "Thai"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
-           (0x1E00, "Latin"), (0x1F00, "Greek"), (0x3040, "Kana"), (0x3400, "Han"), (0xAC00, "Hangul"))
+           (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x0900, "Devanagari"),
+           (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"),
+           (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"),
+           (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
+           (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x1C80, "Cyrillic"),
+           (0x1D00, "Latin"), (0x1F00, "Greek"), (0x2C60, "Latin"), (0x2D00, "Georgian"), (0x2D80, "Ethiopic"),
+           (0x3040, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x31F0, "Kana"), (0x3400, "Han"),
+           (0xA000, "Yi"), (0xA640, "Cyrillic"), (0xA720, "Latin"), (0xAC00, "Hangul"), (0xF900, "Han"),
+           (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF21, "Latin"), (0xFF66, "Kana"),
+           (0x10330, "Gothic"), (0x10400, "Deseret"), (0x10450, "Other"), (0x1E900, "Adlam"), (0x1EE00, "Arabic"), (0x20000, "Han"))
 NAMES = sorted({name for _, name in SCRIPTS})
-_LETTERS = 62
-_TOP = 0x10000
+_TOP = 0x110000
+#: Planes from here on have no letters.
+_LAST = 0x40000
 
 
 def _tables():
-    """Per code point below 0x10000: lower case, is it a letter, which script."""
+    """Per code point: lower case, is it a letter, which script."""
     lower = np.arange(_TOP, dtype=np.int32)
     letter = np.zeros(_TOP, bool)
-    for c in range(_TOP):
+    for c in range(_LAST):
         if 0xD800 <= c < 0xE000:
             continue
         s = chr(c)
-        letter[c] = s.isalpha()
-        if letter[c] and len(s.lower()) == 1 and ord(s.lower()) < _TOP:
-            lower[c] = ord(s.lower())
+        if s.isalpha():
+            letter[c] = True
+            low = s.lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
     starts = np.array([c for c, _ in SCRIPTS])
-    names = np.array([NAMES.index(s) for _, s in SCRIPTS])
+    names = np.array([NAMES.index(s) for _, s in SCRIPTS], np.int16)
     return lower, letter, names[np.maximum(np.searchsorted(starts, np.arange(_TOP), "right") - 1, 0)]
 
 
@@ -63,9 +74,9 @@ def tables():
 
 
 def points(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a chunk (those beyond 0xFFFF as 0xFFFF) and the document of each."""
+    """Code points of a chunk and the document of each."""
     text = chunk.body.decode("utf-8", "replace")
-    code = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), _TOP - 1).astype(np.int32)
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.int32)
     head = np.flatnonzero((chunk.data & 0xC0) != 0x80)
     begins = np.searchsorted(head, np.append(chunk.starts, len(chunk.data)))
     return code, begins
@@ -77,26 +88,51 @@ def letter_words(code: np.ndarray):
     edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     if len(letter) and letter[0]:
         edge = np.concatenate([[0], edge])
+    if len(letter) and letter[-1]:
+        edge = np.append(edge, len(letter))
     return edge[0::2], edge[1::2]
 
 
 @dataclass
 class Model:
     languages: list
-    letters: np.ndarray  # code point -> class 1.._LETTERS, 0 other
-    scores: np.ndarray  # trigram of classes -> float32 per language
+    grams: np.ndarray  # the trigrams of training, ascending
+    scores: np.ndarray  # trigram -> float32 per language; the last row is for all others
     scripts: np.ndarray  # script -> bool per language
 
 
-def _classes(code: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    lower, letter, _ = tables()
-    return np.where(letter[code], letters[lower[code]], _LETTERS + 1)
-
-
-def _trigrams(cls: np.ndarray) -> np.ndarray:
-    """The trigram centred on each position, as one number."""
-    pad = np.concatenate([[_LETTERS + 1], cls, [_LETTERS + 1]]).astype(np.int64)
-    return (pad[:-2] * 64 + pad[1:-1]) * 64 + pad[2:]
+class Distinct:
+    """The distinct lower-cased words of a text: their letters, bounds, and which one each word is."""
+
+    def __init__(self, code: np.ndarray, start: np.ndarray, end: np.ndarray):
+        lower, letter, _ = tables()
+        flat = lower[code[letter[code]]]
+        ends = 4 * np.concatenate([[0], np.cumsum(end - start)])
+        column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+        _, cuts, raw = column.dictionary.buffers()
+        self.cut = np.frombuffer(cuts, np.int64, len(column.dictionary) + 1) // 4
+        self.flat = np.frombuffer(raw or b"", np.int32, int(self.cut[-1]))
+        self.which = column.indices.to_numpy()
+
+    def grams(self) -> np.ndarray:
+        """The trigram centred on each letter, as one number; a word's ends read as 0."""
+        before, after = np.zeros((2, len(self.flat)), np.int64)
+        before[1:], after[:-1] = self.flat[:-1], self.flat[1:]
+        before[self.cut[:-1]] = 0
+        after[self.cut[1:] - 1] = 0
+        return (before << 42) | (self.flat.astype(np.int64) << 21) | after
+
+    def scores(self, model: Model) -> np.ndarray:
+        """Per distinct word and language."""
+        gram, which = np.unique(self.grams(), return_inverse=True)
+        at = np.searchsorted(model.grams, gram)
+        at[np.append(model.grams, -1)[at] != gram] = len(model.grams)
+        out = np.add.reduceat(model.scores[at][which], self.cut[:-1], axis=0)
+        allowed = model.scripts[tables()[2][self.flat[self.cut[:-1]]]]
+        known = allowed.any(1)
+        out[known[:, None] & ~allowed] -= 20
+        out[~known] = 0
+        return out
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, max_docs: int = 4000,
@@ -113,40 +149,38 @@ def fit(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, max_docs: int =
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "i string"))
     rows = C.written(one.join(chosen, "i").select("l", "t"))
-    letters_of = (rows.select(F.explode(F.split(F.lower("t"), "")).alias("c")).groupBy("c").count()
-                  .orderBy(F.desc("count"), "c").limit(4000).collect())
-    letters = np.zeros(_TOP, np.int64)
-    k = 0
-    for r in letters_of:
-        if len(r.c) == 1 and r.c.isalpha() and ord(r.c) < _TOP and k < _LETTERS:
-            k += 1
-            letters[ord(r.c)] = k
 
     def count(batches):
+        """Of each document its trigrams, and as negative numbers its scripts."""
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code = np.minimum(np.frombuffer((text + " ").encode("utf-32-le", "replace"), np.uint32), _TOP - 1).astype(np.int32)
-                inside = tables()[1][code]
-                gram, times = np.unique(_trigrams(_classes(code, letters))[inside], return_counts=True)
-                script, often = np.unique(tables()[2][code[inside]], return_counts=True)
-                gram, times = np.concatenate([gram, -1 - script]), np.concatenate([times, often])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()),
-                                                  pa.array(times, pa.int64())], names=["l", "gram", "n"])
-
-    # at most 64^3 trigrams and a few scripts for each language
-    counts = rows.mapInArrow(count, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r.l for r in counts})
-    table = np.zeros((64 ** 3, len(languages)), np.float64)
+                code = np.frombuffer(text.encode("utf-32-le", "replace"), np.int32)
+                words = Distinct(code, *letter_words(code))
+                if not len(words.which):
+                    continue
+                often = np.repeat(np.bincount(words.which), np.diff(words.cut))
+                keys, of = np.unique(np.concatenate([words.grams(), -1 - tables()[2][words.flat].astype(np.int64)]), return_inverse=True)
+                times = np.bincount(of, np.concatenate([often, often])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(times)],
+                                                 names=["l", "gram", "n"])
+
+    # as many rows as the sample has trigrams
+    counts = rows.mapInArrow(count, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(set(counts["l"]))
+    lang = np.searchsorted(np.array(languages, object), counts["l"].to_numpy(object)) if languages else np.zeros(0, np.int64)
+    gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    grams, of = np.unique(gram[gram >= 0], return_inverse=True)
+    table = np.zeros((len(grams) + 1, len(languages)))
     scripts = np.zeros((len(NAMES), len(languages)))
-    for r in counts:
-        (table if r.gram >= 0 else scripts)[r.gram if r.gram >= 0 else -1 - r.gram, languages.index(r.l)] += r.n
+    table[of, lang[gram >= 0]] = n[gram >= 0]
+    scripts[-1 - gram[gram < 0], lang[gram < 0]] = n[gram < 0]
     if languages:
-        log = np.log((table + 0.1) / (table.sum(0) + 0.1 * 64 ** 2))
-        log[table.sum(1) == 0] = 0
+        log = np.log((table + 0.1) / (table.sum(0) + 0.1 * (len(grams) + 1)))
+        log[-1] = 0
         log -= log.mean(1, keepdims=True)
         table = np.clip(log, -6, 6)
         scripts = scripts / np.maximum(scripts.sum(0), 1) >= 0.01
-    return Model(languages, letters, table.astype(np.float32), scripts.astype(bool))
+    return Model(languages, grams, table.astype(np.float32), scripts.astype(bool))
 
 
 def viterbi(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarray:
@@ -155,7 +189,7 @@ def viterbi(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarray:
     length = np.diff(cut)
     order = np.argsort(-length, kind="stable")
     begin, size = cut[:-1][order], length[order]
-    back = np.empty((n, k), np.int8)
+    back = np.empty((n, k), np.int16)
     best = np.zeros((len(order), k))
     live = int((size > 0).sum())
     ends = np.zeros((len(order), k))
@@ -174,7 +208,7 @@ def viterbi(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarray:
             back[at] = np.where(stay, np.arange(k), top[:, None])
             best[:live] = np.where(stay, old, jump[:, None]) + scores[at]
         ends[:live] = best[:live]
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int16)
     state = ends.argmax(1)
     live = 0
     for t in range((int(size[0]) if len(size) else 0) - 1, -1, -1):
@@ -192,7 +226,7 @@ def word_labels(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarr
     doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     run = np.concatenate([np.zeros((1, k)), np.cumsum(scores, axis=0, dtype=np.float64)])
     best = (run[cut[1:]] - run[cut[:-1]]).argmax(1)
-    out = best[doc].astype(np.int8)
+    out = best[doc].astype(np.int16)
     gain = np.cumsum(scores - scores[np.arange(n), best[doc]][:, None], axis=0, dtype=np.float64)
     # largest gain of a run inside each document: a step per document keeps running minima apart
     width = 2 * (np.abs(gain).max() + 1) if n else 1.0
@@ -207,6 +241,16 @@ def word_labels(scores: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarr
     return out
 
 
+def _labels(scores: np.ndarray, which: np.ndarray, cut: np.ndarray, penalty: float, cells: int = 4_000_000) -> np.ndarray:
+    """``word_labels`` for the words ``which``, some documents at a time, so that scores of many languages stay small."""
+    out, at = np.zeros(len(which), np.int16), 0
+    while at < len(cut) - 1:
+        to = max(at + 1, int(np.searchsorted(cut, cut[at] + cells // scores.shape[1], "right")) - 1)
+        out[cut[at]:cut[to]] = word_labels(scores[which[cut[at]:cut[to]]], cut[at:to + 1] - cut[at], penalty)
+        at = to
+    return out
+
+
 def spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and its spans (language, first letter, letters, words), in order."""
 
@@ -228,16 +272,9 @@ def _run(docs, model, penalty, id_col, text_col):
                 empty = pa.array([], kind.value_type)
                 yield pa.RecordBatch.from_arrays([chunk.ids_column(), pa.ListArray.from_arrays(pa.array(ends), empty)], names=["doc_id", "spans"])
                 continue
-            gram = _trigrams(_classes(code, model.letters))
-            inside = np.flatnonzero(tables()[1][code])
             size = end - start
-            cut = np.concatenate([[0], np.cumsum(size)])
-            scores = np.add.reduceat(model.scores[gram[inside]], cut[:-1], axis=0)
-            allowed = model.scripts[tables()[2][code[start]]]
-            known = allowed.any(1)
-            scores[known[:, None] & ~allowed] -= 20
-            scores[~known] = 0
-            label = word_labels(scores, first, penalty)
+            words = Distinct(code, start, end)
+            label = _labels(words.scores(model), words.which, first, penalty)
             doc = np.repeat(np.arange(len(begins) - 1), np.diff(first))
             new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
             letters = np.add.reduceat(size, new)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .langid import points, tables
 
 FEATURES = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
             "n_lines long, n_upper long, n_letters long, n_distinct long, n_stop long")
@@ -38,9 +39,6 @@ _SYMBOLS = _flags("#*$%&|<>")
 _START = np.ones(256, np.int64)
 _START[128:192] = 0
 _START[[9, 10, 11, 12, 13, 32]] = 0
-_UPPER = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_LETTER = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_LETTER[192:] = 1
 
 
 def _repeated_lines(text: bytes) -> tuple[int, int]:
@@ -70,11 +68,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cover[again + k] = True
             _, places = np.unique(C.mix(h ^ salt[doc]), return_index=True)
             total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.append(chunk.starts, len(chunk.data))])
+            code, begins = points(chunk)
+            lower, letter, _ = tables()
+            count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[begins])
             lines = np.array([_repeated_lines(chunk.text(i)) for i in range(len(n))], np.int64).reshape(len(n), 2)
             at = np.minimum(np.searchsorted(stop, low), len(stop) - 1)
             columns = [n, total(_START[chunk.data]), total(_SYMBOLS[chunk.data]), lines[:, 1],
-                       np.bincount(doc[cover], minlength=len(n)), lines[:, 0], total(_UPPER[chunk.data]),
-                       total(_LETTER[chunk.data]), np.bincount(doc[places], minlength=len(n)),
+                       np.bincount(doc[cover], minlength=len(n)), lines[:, 0], count(letter[code] & (lower[code] != code)),
+                       count(letter[code]), np.bincount(doc[places], minlength=len(n)),
                        np.bincount(doc[stop[at] == low], minlength=len(n))]
             yield pa.RecordBatch.from_arrays([chunk.ids_column(), *(pa.array(c, pa.int64()) for c in columns)],
                                              names=[x.split()[0] for x in FEATURES.split(", ")])
@@ -109,7 +110,7 @@ def rules() -> dict:
 PRIOR = ((0.3, 0.5, 0.2), (0.195, 0.005, 0.8))
 
 
-def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 0.3):
+def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 0.3, presume: tuple = PRIOR):
     """EM over distinct vote rows with counts: posterior of good per row, and the vote table [class, rule, vote].
 
     The presumed vote probabilities weigh as much as ``strength`` times the
@@ -117,7 +118,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, streng
     largest kind of bad document and call the other kinds good.
     """
     n_rules = votes.shape[1]
-    presumed = np.repeat(np.array(PRIOR)[:, None], n_rules, 1)
+    presumed = np.repeat(np.array(presume)[:, None], n_rules, 1)
     table, prior = presumed.copy(), np.array([0.3, 0.7])
     hot = np.eye(3)[votes]  # row, rule, vote
     weight = strength * counts.sum() * prior[:, None, None] + 1
@@ -132,7 +133,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, streng
     return post[:, 1], table
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, threshold: float = 0.5, strength: float = 0.3, presume: tuple = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All features with base_failed, votes, quality (posterior of good) and kept."""
     spark = docs.sparkSession
     votes = rules()
@@ -140,7 +141,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
     rows = table.groupBy("votes").count().collect()  # at most 3^rules
     if rows:
         patterns = [r["votes"] for r in rows]
-        post, _ = label_model(np.array([list(map(int, p)) for p in patterns]), np.array([r["count"] for r in rows], float))
+        post, _ = label_model(np.array([list(map(int, p)) for p in patterns]), np.array([r["count"] for r in rows], float), strength=strength, presume=presume)
         told = list(zip(patterns, post.tolist()))
     else:
         told = []

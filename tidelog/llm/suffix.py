@@ -1,12 +1,14 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on one shard of bytes.
 
-A shard is a few hundred kilobytes, so its arrays stay small.  The
-steps are those of induced sorting: suffixes are classified as smaller or larger
-than their right neighbour; leftmost-smaller substrings are sorted by inducing
-from their first letters and named; if names repeat, the reduced string of names
-is ordered recursively, by naming pairs of names until all differ; then the whole
-array is induced from it in two linear scans.  A scan treats all entries of a
-bucket that are known at once, so its steps are array operations.
+A shard is a few hundred kilobytes, so its arrays stay small.  Suffixes are
+classified as smaller or larger than their right neighbour; leftmost-smaller
+substrings are sorted by inducing from their first letters and named by comparing
+neighbours letter by letter; if names repeat, the string of names is sorted by the
+same steps; then the whole array is induced from it in two linear scans.
+
+On bytes a scan treats all entries of a bucket that are known at once, so its steps
+are array operations.  A string of names has about as many letters as it has
+places, so its buckets are small and its scans go entry by entry.
 
 Common prefixes are computed in text order, and by comparison only where the
 letter before differs (the irreducible ones); the others follow by subtraction.
@@ -16,8 +18,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import common as C
-
 _SIGMA = 256
 
 
@@ -92,53 +92,76 @@ class _Induction:
         return sa
 
 
-def _ordered(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by naming pairs of names until all differ."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(m, np.int64)
-    slots, step = np.arange(m), 1
-    key = names[order]
-    while True:
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        rank[order[slots]] = slots[group]
-        open_ = np.bincount(group, minlength=len(new))[group] > 1
-        slots = slots[open_]
-        if not len(slots):
-            return order
-        at = order[slots]
-        after = at + step
-        key = rank[at] * (m + 1) + np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        order[slots], key = at[by], key[by]
-        step *= 2
+class _Names:
+    """As ``_Induction`` for a string of names, whose last one is the unique smallest: scans entry by entry."""
 
+    def __init__(self, t: np.ndarray):
+        self.t, self.small = t, classify(t)
+        self.tail = np.cumsum(np.bincount(t))
+        self.leftmost = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes whose last one is smaller than all others and unique."""
-    work = _Induction(t)
+    def sort(self, given: np.ndarray) -> np.ndarray:
+        t, small, n = self.t.tolist(), self.small.tolist(), len(self.t)
+        sa, end = [-1] * n, self.tail.tolist()
+        for i in reversed(given.tolist()):
+            end[t[i]] -= 1
+            sa[end[t[i]]] = i
+        begin = [0, *self.tail[:-1].tolist()]
+        for k in range(n):
+            i = sa[k] - 1
+            if i >= 0 and not small[i]:
+                c = t[i]
+                sa[begin[c]] = i
+                begin[c] += 1
+        end = self.tail.tolist()
+        for k in range(n - 1, -1, -1):
+            i = sa[k] - 1
+            if i >= 0 and small[i]:
+                c = t[i]
+                end[c] -= 1
+                sa[end[c]] = i
+        sa[0] = n - 1
+        return np.array(sa, np.int64)
+
+
+def _named(t: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings at ``p``, given their sorted order: equal ones share a name."""
+    stop = np.append(p[1:], len(t) - 1) + 1
+    place = np.empty(len(t), np.int32)
+    place[p] = np.arange(len(p))
+    which = place[first]
+    a, size = p[which], (stop - p)[which]
+    new = np.ones(len(p), bool)
+    same = np.flatnonzero(size[1:] == size[:-1]) + 1  # only these can equal the one before them
+    if len(same):
+        width = size[same]
+        cut = np.cumsum(width) - width
+        step = np.arange(int(width.sum()), dtype=np.int32) - np.repeat(cut, width)
+        equal = t[np.repeat(a[same], width) + step] == t[np.repeat(a[same - 1], width) + step]
+        new[same] = ~np.logical_and.reduceat(equal, cut)
+    names = np.empty(len(p), np.int64)
+    names[which] = np.cumsum(new) - 1
+    return names
+
+
+def _induced(work) -> np.ndarray:
     p = work.leftmost
     if len(p) < 2:
         return work.sort(p)
     sa = work.sort(p)
-    mark = np.zeros(len(t), bool)
+    mark = np.zeros(len(work.t), bool)
     mark[p] = True
-    first = sa[mark[sa]]  # leftmost-smaller suffixes, ordered by their substrings
-    n = len(t)
-    total = np.zeros(n + 1, np.uint64)
-    np.multiply(C.powers(n + 1)[:n], t, out=total[1:])
-    total[1:] += C.powers(n + 1)[:n]
-    np.cumsum(total, out=total)
-    stop = np.append(p[1:], n - 1) + 1
-    place = np.empty(n, np.int32)
-    place[p] = np.arange(len(p))
-    which = place[first]
-    a, b = p[which], stop[which]
-    h = C.mix((total[b] - total[a]) * C.inverse_powers(n + 1)[a] + (b - a).astype(np.uint64))
-    names = np.empty(len(p), np.int64)
-    names[which] = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
-    return work.sort(p[_ordered(names)])
+    names = _named(work.t, p, sa[mark[sa]])
+    if names.max() + 1 == len(p):
+        order = np.argsort(names)
+    else:
+        order = _induced(_Names(names))
+    return work.sort(p[order])
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes whose last one is smaller than all others and unique."""
+    return _induced(_Induction(t))
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
