@@ -10,7 +10,6 @@ PUT, DELETE = 0, 1
 FOUND, DELETED, NOT_FOUND = 0, 1, 2
 
 LOG = "key string, value string, op int, seq long"
-LOOKUP = "key string, status int, value string"
 EDIT = ("next_table_id long, sequence_number long, "
         "new_files array<struct<id:long,level:int,size:long,smallest_key:string,largest_key:string>>, "
         "delete_files array<struct<id:long,level:int>>")

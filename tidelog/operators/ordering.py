@@ -15,16 +15,22 @@ _PER_RANGE = 32
 
 
 def _ranged(log: DataFrame, ranges: int | None) -> DataFrame:
+    """The log with ``range``: how many boundaries are at or before the entry, looked up in two steps of some root of their number."""
     spark = log.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.struct(F.col("key"), (-F.col("seq")).alias("age"))
     sample = (log.select(at.alias("at"), F.xxhash64("key", "seq").alias("h")).orderBy("h").limit(n * _PER_RANGE)
               .agg(F.sort_array(F.collect_list("at")).alias("at")).first().at)
-    bounds = sample[_PER_RANGE::_PER_RANGE]
+    bounds = [(b.key, b.age) for b in sample[_PER_RANGE::_PER_RANGE]]
     if not bounds:
         return log.withColumn("range", F.lit(0))
-    edges = F.array(*(F.struct(F.lit(b.key).alias("key"), F.lit(b.age).alias("age")) for b in bounds))
-    return log.withColumn("range", F.size(F.filter(edges, lambda e: e <= at)))
+    step = max(1, round(len(bounds) ** 0.5))
+    kind = "array<struct<key:string,age:long>>"
+    edges = spark.createDataFrame([(bounds, bounds[step - 1::step])], f"edges {kind}, coarse {kind}")
+    before = lambda e: e <= at
+    near = F.size(F.filter("coarse", before)) * step
+    own = near + F.size(F.filter(F.slice("edges", near + 1, step), before))
+    return log.crossJoin(F.broadcast(edges)).select(*log.columns, own.alias("range"))  # one row
 
 
 def _inside():
@@ -32,16 +38,32 @@ def _inside():
 
 
 def _with_offsets(placed: DataFrame) -> DataFrame:
-    """Adds ``before``: the rows in earlier ranges, a table of one row for each range."""
+    """Adds ``before``, the rows in earlier ranges, and ``total``: from a table of one row for each range."""
     sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"),
+                          F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
     return placed.join(F.broadcast(before), "range")
 
 
-def positions(log: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The log with ``position``: 0 for the first entry in (key, newest first)."""
+def positions(log: DataFrame, ranges: int | None = None, reverse: bool = False) -> DataFrame:
+    """The log with ``position``: 0 for the first entry in (key, newest first), or for the last with ``reverse``."""
     placed = _with_offsets(_ranged(log, ranges))
-    return placed.withColumn("position", F.col("before") + F.row_number().over(_inside()) - 1).drop("range", "before")
+    at = F.col("before") + F.row_number().over(_inside()) - 1
+    return placed.withColumn("position", F.col("total") - 1 - at if reverse else at).drop("range", "before", "total")
+
+
+def ages(log: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The log with ``age``: 1 is a key's newest version.  A key's versions may lie in several ranges."""
+    placed = _ranged(log, ranges)
+    ends = placed.groupBy("range", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("range").agg(
+        F.min("key").alias("first"), F.max_by(F.struct("key", "n"), "key").alias("last"))
+    # versions of a range's first key in the ranges before it, which end with that key: a row a range
+    earlier = ends.select(F.col("range").alias("r"), F.col("last.key").alias("k"), F.col("last.n").alias("n"))
+    carried = (ends.join(earlier, (F.col("first") == F.col("k")) & (F.col("r") < F.col("range")))
+               .groupBy("range", F.col("first").alias("key")).agg(F.sum("n").alias("carried")))
+    rank = F.row_number().over(Window.partitionBy("range", "key").orderBy(F.desc("seq")))
+    return (placed.withColumn("rank", rank).join(F.broadcast(carried), ["range", "key"], "left")
+            .select(*log.columns, (F.col("rank") + F.coalesce("carried", F.lit(0))).alias("age")))
 
 
 def neighbours(log: DataFrame, ranges: int | None = None) -> DataFrame:

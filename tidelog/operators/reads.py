@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.model import DELETED, FOUND, NOT_FOUND, PUT
+from tidelog.operators import ordering
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -32,10 +33,8 @@ def as_of(log: DataFrame, seq: int | Column) -> DataFrame:
 
 
 def history(log: DataFrame) -> DataFrame:
-    """Every version with its age: 1 is a key's newest."""
-    from pyspark.sql import Window
-
-    return log.withColumn("age", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))).cast("long"))
+    """Every version with its age: 1 is a key's newest.  A hot key is split like any other range of entries."""
+    return ordering.ages(log)
 
 
 def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
@@ -69,7 +68,6 @@ def key_range(log: DataFrame, low: str | None = None, high: str | None = None) -
     return log if high is None else log.where(F.col("key") < high)
 
 
-
 def seek(log: DataFrame, key: str | None = None, last: bool = False) -> DataFrame:
     """The first entry in (key, newest first) at or after ``key``; the first or last of all without one."""
     own = key_range(log, key)
@@ -79,8 +77,3 @@ def seek(log: DataFrame, key: str | None = None, last: bool = False) -> DataFram
 def merged(*logs: DataFrame) -> DataFrame:
     """All versions of several tables."""
     return reduce(DataFrame.unionByName, logs)
-
-
-def scan(log: DataFrame, reverse: bool = False) -> DataFrame:
-    """All entries in order: keys ascending, newest first; or exactly the other way."""
-    return log.orderBy(*((F.desc("key"), F.asc("seq")) if reverse else (F.asc("key"), F.desc("seq"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.entries import entry_bytes, payload_bytes
 from tidelog.model import DELETE, Config
 from tidelog.operators import compaction, ordering, reads, tables, writes
-from tidelog.plans.oracles import EDITS, LIMIT, ORACLES, PUTS
+from tidelog.plans.oracles import LIMIT, ORACLES, PUTS
 from tidelog.plans.store import Store
 from tidelog.sources import folders, manifest, sst
 from tidelog.sources.tables import events_log, events_ops, orders_log, pages_log, table
@@ -133,9 +133,7 @@ def merge_forward(spark, sf_dir):
 
 @query
 def merge_reverse(spark, sf_dir):
-    placed = ordering.positions(events_log(spark, sf_dir))
-    last = placed.agg(F.max("position").alias("last"))
-    return placed.crossJoin(F.broadcast(last)).select("key", "seq", "op", (F.col("last") - F.col("position")).alias("position"))  # one row
+    return ordering.positions(events_log(spark, sf_dir), reverse=True).select("key", "seq", "op", "position")
 
 
 @query
@@ -271,24 +269,53 @@ def compaction_split(spark, sf_dir):
 
 # -- manifest --------------------------------------------------------------
 
+_built: dict = {}
+
+
+def _parts(spark, sf_dir, n: int) -> list[DataFrame]:
+    """The log in ``n`` batches of puts and deletes, by age."""
+    log = events_log(spark, sf_dir)
+    total = log.count()
+    part = F.floor((F.col("seq") - 1) * n / total)
+    return [log.where(part == p) for p in range(n)]
+
+
+def _put(store: Store, part: DataFrame) -> None:
+    store.put(part.select((F.col("seq") - 1 - store.seq).alias("ordinal"), "key", "value"))
+
+
+def _edits(spark, sf_dir) -> DataFrame:
+    """The manifest of a store with three flushes, a compaction and another flush; built once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _built:
+        store = Store(spark, folders.shared(spark), Config(memtable_bytes=LIMIT, memtables_per_flush=1 << 30, level0_trigger=1 << 30))
+        for i, part in enumerate(_parts(spark, sf_dir, 4)):
+            if i == 3:
+                store.compact()
+            _put(store, part)
+            store.flush()
+        _built[at] = store.path
+    return Store(spark, _built[at]).edits()
+
+
 @query
 def manifest_replay(spark, sf_dir):
-    return manifest.replay(manifest.literal_edits(spark, EDITS))
+    return manifest.replay(_edits(spark, sf_dir))
 
 
 @query
 def manifest_counters(spark, sf_dir):
-    return manifest.counters(manifest.literal_edits(spark, EDITS))
+    return manifest.counters(_edits(spark, sf_dir))
 
 
 @query
 def version_apply(spark, sf_dir):
-    return manifest.versions(manifest.literal_edits(spark, EDITS)).select("version_id", "sst_id", "level")
+    return manifest.versions(_edits(spark, sf_dir)).select("version_id", "sst_id", "level")
 
 
 @query
 def obsolete_files(spark, sf_dir):
-    return manifest.obsolete(manifest.literal_edits(spark, EDITS), retained_from=2)
+    return manifest.obsolete(_edits(spark, sf_dir), retained_from=4).select("sst_id", "level")
 
 
 @query
@@ -302,16 +329,38 @@ def recovered_snapshot(spark, sf_dir):
 def store_reopened(spark, sf_dir):
     """The live keys of a store after two flushes, compaction and reopening."""
     path = folders.shared(spark)
-    log = events_log(spark, sf_dir)
-    half = log.agg(F.max("seq")).first()[0] // 2
-    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+    for part in _parts(spark, sf_dir, 2):
         store = Store(spark, path, CONFIG)
-        store.put(part.select((F.col("seq") - 1 - store.seq).alias("ordinal"), "key", "value"))
+        _put(store, part)
         store.flush()
     store.vacuum()
     return reads.live(Store(spark, path, CONFIG).log())
 
 
+@query
+def store_scan(spark, sf_dir):
+    """All entries from a key on, in reverse order, of a store that flushes by itself; the last batch stays in memory."""
+    store = Store(spark, folders.shared(spark), Config(memtable_bytes=LIMIT // 8, memtables_per_flush=2, level0_trigger=1 << 30))
+    for part in _parts(spark, sf_dir, 3):
+        _put(store, part)
+    return store.scan("key12", reverse=True).select("key", "seq", "op", "value", "position")
+
+
+@query
+def store_snapshot(spark, sf_dir):
+    """The live keys of an old version, after more flushes, a compaction and a vacuum that retains it."""
+    store = Store(spark, folders.shared(spark), CONFIG)
+    first, second = _parts(spark, sf_dir, 2)
+    _put(store, first)
+    store.flush()
+    version = store.edit_id - 1
+    _put(store, second)
+    store.flush()
+    store.compact()
+    store.vacuum(retained_from=version)
+    return reads.live(store.snapshot(version))
+
+
 @query
 def sst_round_trip(spark, sf_dir):
     """The log written as binary sorted files and read back."""

@@ -5,15 +5,6 @@ from __future__ import annotations
 #: Memtable limit of the fixtures, in bytes.
 LIMIT = 16 << 10
 PUTS = [("key1", "a"), ("key1", "b"), ("key3", ""), ("new key", "c"), ("gone key", None)]
-EDITS = [
-    '{"next_table_id":3,"sequence_number":40,"new_files":[{"id":1,"level":0,"size":10,"smallest_key":"a","largest_key":"m"},'
-    '{"id":2,"level":0,"size":20,"smallest_key":"c","largest_key":"z"}]}',
-    '{"next_table_id":4,"sequence_number":90,"new_files":[{"id":3,"level":0,"size":15,"smallest_key":"b","largest_key":"c"}]}',
-    '{"next_table_id":6,"sequence_number":90,"new_files":[{"id":4,"level":1,"size":30,"smallest_key":"a","largest_key":"k"},'
-    '{"id":5,"level":1,"size":12,"smallest_key":"l","largest_key":"z"}],"delete_files":[{"id":1,"level":0},{"id":2,"level":0}]}',
-    '{"next_table_id":7,"sequence_number":120,"new_files":[{"id":6,"level":0,"size":9,"smallest_key":"d","largest_key":"e"}],'
-    '"delete_files":[{"id":3,"level":0}]}',
-]
 
 _LOG = """ops AS (
   SELECT 'key' || CAST(user_id AS VARCHAR) AS key, event_type = 'error' AS asked_delete,
@@ -59,22 +50,37 @@ def _batch(delete: bool) -> str:
               f"WHERE r = 1 AND key IN ({', '.join(sorted({f'{chr(39)}{k}{chr(39)}' for k, _ in PUTS}))})")
 
 
-def _edits() -> str:
-    import json
-
-    new, gone, heads = [], [], []
-    for i, text in enumerate(EDITS):
-        e = json.loads(text)
-        heads.append(f"({i}, {e['next_table_id']}, {e['sequence_number']})")
-        new += [f"({i}, {f['id']}, {f['level']}, {f['size']}, '{f['smallest_key']}', '{f['largest_key']}')" for f in e.get("new_files", [])]
-        gone += [f"({i}, {f['id']})" for f in e.get("delete_files", [])]
-    return ("WITH heads AS (SELECT CAST(a AS BIGINT) AS edit_id, CAST(b AS BIGINT) AS next_table_id, CAST(c AS BIGINT) AS sequence_number "
-            f"FROM (VALUES {', '.join(heads)}) AS t(a, b, c)), "
-            "added AS (SELECT a AS edit_id, CAST(b AS BIGINT) AS sst_id, CAST(c AS INTEGER) AS level, CAST(d AS BIGINT) AS size, e AS smallest_key, "
-            f"f AS largest_key FROM (VALUES {', '.join(new)}) AS t(a, b, c, d, e, f)), "
-            f"gone AS (SELECT a AS gone, CAST(b AS BIGINT) AS sst_id FROM (VALUES {', '.join(gone)}) AS t(a, b)), "
-            "versions AS (SELECT h.edit_id AS version_id, a.* EXCLUDE (edit_id) FROM added a LEFT JOIN gone g USING (sst_id) "
-            "JOIN heads h ON h.edit_id >= a.edit_id AND (g.gone IS NULL OR h.edit_id < g.gone)) ")
+def _fold(rows: str, group: str, into: str, limit: int) -> str:
+    """``{into}``: rows of ``rows`` (with ``total``, a running sum within ``group``) and the number ``m`` of their greedy cut."""
+    return f"""{into}_bases AS (SELECT DISTINCT {group}, 0 AS m, CAST(0 AS BIGINT) AS base FROM {rows} UNION ALL
+  SELECT b.{group}, max(m) + 1, min(total) FROM {into}_bases b JOIN {rows} r ON r.{group} = b.{group} AND total >= base + {limit} GROUP BY b.{group}),
+{into}_spans AS (SELECT *, lead(base) OVER (PARTITION BY {group} ORDER BY m) AS until FROM {into}_bases),
+{into} AS (SELECT r.*, m FROM {rows} r JOIN {into}_spans s ON r.{group} = s.{group} AND total > base AND (until IS NULL OR total <= until))"""
+
+
+#: The edits of a store with three flushes of a quarter of the log each, a compaction, and a flush of the last quarter.
+_EDITS = f"""sized AS (SELECT *, strlen(key) + coalesce(strlen(value), 0) AS n_bytes, (seq - 1) * 4 // (SELECT count(*) FROM log) AS part FROM log),
+quarters AS (SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY part ORDER BY seq) AS BIGINT) AS total FROM sized),
+{_fold("quarters", "part", "quarter_cut", LIMIT)},
+flushed AS (SELECT part, m, min(key) AS smallest_key, max(key) AS largest_key, CAST(sum(n_bytes) AS BIGINT) AS size,
+  row_number() OVER (ORDER BY part, m) - 1 AS no FROM quarter_cut GROUP BY part, m),
+upper AS (SELECT * FROM flushed WHERE part < 3),
+reach AS (SELECT smallest_key AS lo, largest_key AS hi, 0 AS round FROM upper WHERE no = 0 UNION ALL
+  SELECT min(smallest_key), max(largest_key), max(round) + 1 FROM reach JOIN upper ON largest_key >= lo AND smallest_key <= hi
+  WHERE round < 20 HAVING min(smallest_key) IS NOT NULL),
+inputs AS (SELECT * FROM upper, (SELECT min(lo) AS lo, max(hi) AS hi FROM reach) WHERE largest_key >= lo AND smallest_key <= hi),
+best AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM quarter_cut c SEMI JOIN inputs USING (part, m)) WHERE r = 1),
+kept AS (SELECT 0 AS run, key, n_bytes, CAST(sum(n_bytes) OVER (ORDER BY key) AS BIGINT) AS total FROM best b WHERE op = 0 OR EXISTS (
+  SELECT 1 FROM upper u ANTI JOIN inputs USING (no) WHERE b.key BETWEEN u.smallest_key AND u.largest_key)),
+{_fold("kept", "run", "merged_cut", LIMIT)},
+outputs AS (SELECT m, min(key) AS smallest_key, max(key) AS largest_key, CAST(sum(n_bytes) AS BIGINT) AS size FROM merged_cut GROUP BY m),
+added AS (SELECT CAST(CASE WHEN part < 3 THEN part + 1 ELSE 5 END AS BIGINT) AS edit_id,
+    CAST(no + CASE WHEN part < 3 THEN 0 ELSE (SELECT count(*) FROM outputs) END AS BIGINT) AS sst_id, 0 AS level, size, smallest_key, largest_key FROM flushed
+  UNION ALL SELECT 4, (SELECT count(*) FROM upper) + m, 1, size, smallest_key, largest_key FROM outputs),
+gone AS (SELECT CAST(no AS BIGINT) AS sst_id, 4 AS gone FROM inputs),
+heads AS (SELECT CAST(i AS BIGINT) AS edit_id FROM range(6) AS t(i)),
+versions AS (SELECT h.edit_id AS version_id, a.* EXCLUDE (edit_id) FROM added a LEFT JOIN gone g USING (sst_id)
+  JOIN heads h ON h.edit_id >= a.edit_id AND (g.gone IS NULL OR h.edit_id < g.gone))"""
 
 
 _CLOSURE = """closure AS (
@@ -152,10 +158,13 @@ ORACLES: dict[str, str] = {
              "out_bases AS (SELECT 0 AS file_no, CAST(0 AS BIGINT) AS base UNION ALL SELECT max(file_no) + 1, min(total) FROM out_bases, out_rows "
              f"WHERE total >= base + {LIMIT // 16} HAVING min(total) IS NOT NULL), "
              "out_spans AS (SELECT *, lead(base) OVER (ORDER BY file_no) AS until FROM out_bases)"),
-    "manifest_replay": _edits() + "SELECT sst_id, level, size, smallest_key, largest_key FROM added WHERE sst_id NOT IN (SELECT sst_id FROM gone)",
-    "manifest_counters": _edits() + "SELECT max(next_table_id) AS next_table_id, max(sequence_number) AS sequence_number FROM heads",
-    "version_apply": _edits() + "SELECT version_id, sst_id, level FROM versions",
-    "obsolete_files": _edits() + "SELECT sst_id, level FROM added WHERE sst_id NOT IN (SELECT sst_id FROM versions WHERE version_id >= 2)",
+    "manifest_replay": _q("SELECT sst_id, CAST(level AS INTEGER) AS level, size, smallest_key, largest_key FROM added WHERE sst_id NOT IN (SELECT sst_id FROM gone)", more=_EDITS),
+    "manifest_counters": _q("SELECT max(sst_id) + 1 AS next_table_id, (SELECT max(seq) FROM log) AS sequence_number FROM added", more=_EDITS),
+    "version_apply": _q("SELECT version_id, sst_id, CAST(level AS INTEGER) AS level FROM versions", more=_EDITS),
+    "obsolete_files": _q("SELECT sst_id, CAST(level AS INTEGER) AS level FROM added WHERE sst_id NOT IN (SELECT sst_id FROM versions WHERE version_id >= 4)", more=_EDITS),
+    "store_scan": _q("SELECT key, seq, op, value, row_number() OVER (ORDER BY key DESC, seq) - 1 AS position FROM log WHERE key >= 'key12'"),
+    "store_snapshot": _q("SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log "
+                         "WHERE (seq - 1) * 2 // (SELECT count(*) FROM log) = 0) WHERE r = 1 AND op = 0"),
     "recovered_snapshot": _q("SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM cut "
                              "WHERE memtable_id < (SELECT max(memtable_id) // 4 * 4 FROM cut)) WHERE r = 1 AND op = 0", cut=True),
     "store_reopened": _q("SELECT * FROM live"),

@@ -37,11 +37,6 @@ def split_documents(text: str) -> list[str]:
         at = end
 
 
-def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Edits from JSON text, one a row."""
-    return lines.select(F.from_json(column, EDIT).alias("e")).select("e.*")
-
-
 def literal_edits(spark: SparkSession, documents: list[str]) -> DataFrame:
     """Edits given as JSON text, numbered from 0 in ``edit_id``."""
     rows: Column = F.array(*(F.struct(F.lit(i).cast("long").alias("edit_id"), F.lit(d).alias("value")) for i, d in enumerate(documents)))
@@ -57,11 +52,16 @@ def removed(edits: DataFrame) -> DataFrame:
     return edits.select("edit_id", F.explode("delete_files").alias("f")).select("edit_id", F.col("f.id").alias("sst_id"), "f.level")
 
 
-def replay(edits: DataFrame, up_to: int | None = None) -> DataFrame:
-    """The live files (sst_id, level, size, smallest_key, largest_key) after all edits, or after edit ``up_to``."""
+def live(edits: DataFrame, up_to: int | None = None) -> DataFrame:
+    """The live files with the edits that added them, after all edits or after edit ``up_to``."""
     if up_to is not None:
         edits = edits.where(F.col("edit_id") <= up_to)
-    return added(edits).drop("edit_id").join(removed(edits).select("sst_id").distinct(), "sst_id", "left_anti")
+    return added(edits).join(removed(edits).select("sst_id").distinct(), "sst_id", "left_anti")
+
+
+def replay(edits: DataFrame, up_to: int | None = None) -> DataFrame:
+    """The live files (sst_id, level, size, smallest_key, largest_key) after all edits, or after edit ``up_to``."""
+    return live(edits, up_to).drop("edit_id")
 
 
 def counters(edits: DataFrame) -> DataFrame:
@@ -79,6 +79,7 @@ def versions(edits: DataFrame) -> DataFrame:
 
 
 def obsolete(edits: DataFrame, retained_from: int) -> DataFrame:
-    """(sst_id, level) of files that no version from ``retained_from`` on refers to."""
-    kept = versions(edits).where(F.col("version_id") >= retained_from).select("sst_id").distinct()
-    return added(edits).select("sst_id", "level").join(kept, "sst_id", "left_anti")
+    """(edit_id, sst_id, level) of files that no version from ``retained_from`` on refers to: a file leaves with one edit."""
+    gone = removed(edits).groupBy("sst_id").agg(F.min("edit_id").alias("gone"))
+    return (added(edits).join(gone, "sst_id").where(F.col("gone") <= F.greatest(F.lit(retained_from), "edit_id"))
+            .select("edit_id", "sst_id", "level"))
