@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidelog.llm import bpe, exact, substring, suffix
+from tidelog.llm import bpe, common, exact, jaccard, substring, suffix
 
 DOCS = "doc_id long, text string, key string, bucket int"
 
@@ -122,6 +122,22 @@ def test_equal_rows_keep_one_and_layout_stays(spark):
     assert {(r.key, r.bucket) for r in got} == {("k", 1)}
 
 
+def test_texts_longer_than_a_chunk(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    one, two = " ".join(words), " ".join([*words[:1000], "changed", *words[1001:]])
+    assert len(one) > common.CHUNK_BYTES
+    rows = [(1, one), (2, two), (3, "short")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs_of(spark, rows), width=20).collect()}
+    assert got == cut_words(rows, 20)
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in exact.remove_repeats(docs_of(spark, rows)).collect()}
+    at = one.index("w1000 ")
+    n = len(one.encode())
+    # all but the changed word, and the bytes around it that no repeated string reaches
+    assert cut[1] == (n, n - len("w1000"), 2) and cut[2] == (len(two), len(two) - len("changed"), 2) and cut[3] == (5, 0, 0) and at > 200
+    same = {r.doc_id: r.component_id for r in jaccard.join(docs_of(spark, rows), n=3, percent=90).collect()}
+    assert same == {1: 1, 2: 1, 3: 3}
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
