@@ -340,7 +340,7 @@ def store_reopened(spark, sf_dir):
 @query
 def store_scan(spark, sf_dir):
     """All entries from a key on, in reverse order, of a store that flushes by itself; the last batch stays in memory."""
-    store = Store(spark, folders.shared(spark), Config(memtable_bytes=LIMIT // 8, memtables_per_flush=2, level0_trigger=1 << 30))
+    store = Store(spark, folders.shared(spark), Config(memtable_bytes=LIMIT, memtables_per_flush=2, level0_trigger=1 << 30))
     for part in _parts(spark, sf_dir, 3):
         _put(store, part)
     return store.scan("key12", reverse=True).select("key", "seq", "op", "value", "position")

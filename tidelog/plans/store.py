@@ -39,9 +39,8 @@ class Store:
                 raise
             self._append(0, 0, 0, [], [])
             edits = self.edits()
-        last = edits.agg(F.max("edit_id").alias("e")).first().e
-        top = manifest.counters(edits).first()
-        self.edit_id, self.next_id, self.seq = last + 1, top.next_table_id, top.sequence_number
+        last, self.next_id, self.seq = edits.agg(F.max("edit_id")).crossJoin(manifest.counters(edits)).first()  # a row each
+        self.edit_id = last + 1
         if recover:
             for name in folders.names(spark, f"{self.path}/claims"):
                 if name.isdigit() and int(name) > last:
@@ -144,7 +143,7 @@ class Store:
 
     def compact(self) -> None:
         """Merge the oldest level-0 file and all that overlap it, here and in level 1, into new level-1 files."""
-        files = self.catalogue()
+        files = folders.written(self.catalogue())  # read in every round of the closure
         upper = compaction.overlap_closure(files)
         inputs = upper.unionByName(compaction.next_level(files, upper))
         gone = [(r.sst_id, r.level) for r in inputs.select("sst_id", "level").collect()]
