@@ -236,13 +236,13 @@ def _sample(docs, labels, folds, held_out_fold, max_docs, id_col, text_col):
 
 
 def _families(batches):
-    """Of each document the least name of its three-word shingles (of all its words, if fewer): near copies mostly share it."""
+    """Of each document the least name of its five-word shingles (of all its words, if fewer): near copies mostly share it."""
     for chunk, carried in C.pieces(batches):
         words = chunk.words(lower=True)
-        names = C.windows(words.name, 3)
+        names = C.windows(words.name, 5)
         out = np.zeros(len(chunk.ids), np.int64)
         for i, (a, b) in enumerate(zip(words.first.tolist(), words.first[1:].tolist())):
-            own = names[a:b - 2] if b - a >= 3 else C.windows(words.name[a:b], b - a) if b > a else np.zeros(1, np.uint64)
+            own = names[a:b - 4] if b - a >= 5 else C.windows(words.name[a:b], b - a) if b > a else np.zeros(1, np.uint64)
             out[i] = own.min().astype(np.int64)
         yield pa.RecordBatch.from_arrays([chunk.ids_column(), carried.column(0).combine_chunks(), pa.array(out)], names=["i", "toxic", "family"])
 
