@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.model import DELETED, FOUND, NOT_FOUND, PUT
@@ -48,6 +48,27 @@ def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(found, "key", "left").withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
 
 
+def multi_get_as_of(log: DataFrame, probes: DataFrame, seq: str = "seq") -> DataFrame:
+    """As ``multi_get``, each row of ``probes`` as it was after the operation that its column ``seq`` names.
+
+    Only keys, sequence numbers and operations are ordered; the values are joined by
+    key and sequence number, so a key with many versions does not gather its values.
+    """
+    wanted = probes.select("key", F.col(seq).alias("until")).distinct()
+    known = log.join(wanted.select("key").distinct(), "key", "left_semi")
+    both = known.select("key", "seq", F.col("seq").alias("own"), "op").unionByName(
+        wanted.select("key", F.col("until").alias("seq"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("int").alias("op")))
+    before = Window.partitionBy("key").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = both.withColumn("v", F.max(F.when(F.col("own").isNotNull(), F.struct("own", "op"))).over(before)).where("own is null and v is not null")
+    at = newest.select(F.col("key").alias("k"), F.col("seq").alias("until"), F.col("v.own").alias("at"),
+                       F.when(F.col("v.op") == PUT, FOUND).otherwise(DELETED).alias("status"))
+    values = log.select(F.col("key").alias("value_key"), F.col("seq").alias("value_seq"), "value")
+    found = (at.join(values, (F.col("k") == F.col("value_key")) & (F.col("at") == F.col("value_seq")))
+             .select("k", "until", "status", "value"))
+    return (probes.join(found, (F.col("key") == F.col("k")) & (F.col(seq) == F.col("until")), "left")
+            .select(*probes.columns, F.coalesce("status", F.lit(NOT_FOUND)).alias("status"), "value"))
+
+
 def get(log: DataFrame, key: str) -> DataFrame:
     """One row (key, status, value); the equality reaches the scan."""
     found = log.where(F.col("key") == key).agg(F.max_by(F.struct("value", "op"), "seq").alias("v"))
