@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from tidelog.model import DELETE
 from tidelog.operators.cuts import greedy
 from tidelog.operators.ordering import positions
 from tidelog.operators.reads import latest
-from tidelog.operators.tables import SMALL_CATALOGUE
+from tidelog.sources import folders
+from tidelog.operators.tables import covering
 
 
 def scores(files: DataFrame, level0_trigger: int) -> DataFrame:
@@ -25,21 +27,39 @@ def pick_level(scored: DataFrame) -> DataFrame:
     return scored.agg(best).where("b is not null").select("b.level", "b.score", (F.col("b.score") >= 1).alias("due"))
 
 
+def _reach(low: str, high: str):
+    """What the range from ``low`` to ``high`` grows to over the files of a task, batch by batch."""
+    def run(batches):
+        a, b = low, high
+        for batch in batches:
+            files = list(zip(*(batch.column(i).to_pylist() for i in range(2))))
+            for first, last in sorted(files):
+                if first <= b and last >= a:
+                    b = max(b, last)
+            for first, last in sorted(files, key=lambda f: f[1], reverse=True):
+                if first <= b and last >= a:
+                    a = min(a, first)
+        yield pa.RecordBatch.from_pydict({"low": [a], "high": [b]})
+
+    return run
+
+
 def overlap_closure(files: DataFrame) -> DataFrame:
     """The level-0 files to compact together: the oldest, and whatever overlaps the range so far, until it stays.
 
-    Catalogue rows only; each round is one aggregate, and rounds end when the range no longer grows.
+    Catalogue rows only, written once; in each round tasks extend the range over their
+    own files as far as these go, and rounds end when it no longer grows.
     """
-    level0 = files.where("level = 0")
+    level0 = folders.written(files.where("level = 0"))
     seed = level0.agg(F.min_by(F.struct("smallest_key", "largest_key"), "sst_id").alias("s")).first().s
     if seed is None:
         return level0
     low, high = seed
     while True:
-        own = level0.where((F.col("largest_key") >= low) & (F.col("smallest_key") <= high))
-        found = own.agg(F.min("smallest_key"), F.max("largest_key")).first()
+        reached = level0.select("smallest_key", "largest_key").mapInArrow(_reach(low, high), "low string, high string")
+        found = reached.agg(F.min("low"), F.max("high")).first()
         if (found[0], found[1]) == (low, high):
-            return own
+            return level0.where((F.col("largest_key") >= low) & (F.col("smallest_key") <= high))
         low, high = found
 
 
@@ -52,9 +72,9 @@ def next_level(files: DataFrame, inputs: DataFrame, level: int = 1) -> DataFrame
 
 def at_base(keys: DataFrame, deeper: DataFrame) -> DataFrame:
     """``keys`` with ``base``: no deeper file's range covers the key."""
-    ranges = deeper.select("smallest_key", "largest_key")
-    ranges = F.broadcast(ranges) if deeper.count() <= SMALL_CATALOGUE else ranges
-    covered = keys.join(ranges, F.col("key").between(F.col("smallest_key"), F.col("largest_key")), "left_semi").select("key").distinct()
+    if deeper.isEmpty():
+        return keys.withColumn("base", F.lit(True))
+    covered = covering(keys.select("key").distinct(), deeper.select("smallest_key", "largest_key"), "left_semi")
     return keys.join(covered.withColumn("deeper", F.lit(True)), "key", "left").select(*keys.columns, F.col("deeper").isNull().alias("base"))
 
 

@@ -23,7 +23,9 @@ from tidelog.sources import folders
 BLOCK_ROWS, MOST_ROWS, LIMITS = 1 << 18, 1 << 23, 16
 #: Blocks composed by one task.
 FAN = 16
-#: Blocks and cuts up to which they are broadcast; both are counted.
+#: Parts of a block: a row compares itself with the cuts that start in its part only.
+PARTS = 64
+#: Parts and cuts up to which they are broadcast; both are counted.
 SMALL = 200_000
 FUNCTION = "block long, total long, least array<long>, end array<long>, cuts array<long>"
 
@@ -139,9 +141,9 @@ def _opens(functions: DataFrame, n_blocks: int, limit: int) -> DataFrame:
 def greedy(rows: DataFrame, ordinal: str, size: str, limit: int, into: str, block_rows: int | None = None) -> DataFrame:
     """``rows`` with ``into``: the number of each row's cut, in the order of a unique ``ordinal``.
 
-    Only (ordinal, size) is shuffled.  A block's cuts come back as the ordinals at
-    which they start, and the rows look theirs up without moving.  Blocks hold
-    ``block_rows`` ordinals, or as many as some sixteen limits take.
+    Only (ordinal, size) is shuffled.  A block's cuts come back, for each of its parts,
+    as the ordinals at which they start, and the rows look theirs up without moving.
+    Blocks hold ``block_rows`` ordinals, or as many as some sixteen limits take.
     """
     spark = rows.sparkSession
     narrow = rows.select(F.col(ordinal).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
@@ -150,7 +152,8 @@ def greedy(rows: DataFrame, ordinal: str, size: str, limit: int, into: str, bloc
     if block_rows is None:
         block_rows = min(max(BLOCK_ROWS, LIMITS * (n or 1) // n_cuts), MOST_ROWS)
     n_blocks = (top or 0) // block_rows + 1
-    block = F.floor(F.col(ordinal) / block_rows)
+    part_rows = -(-block_rows // PARTS)
+    part = F.floor(F.col(ordinal) / block_rows) * PARTS + F.floor(F.pmod(F.col(ordinal), F.lit(block_rows)) / part_rows)
     blocks = narrow.withColumn("block", F.floor(F.col("o") / block_rows))
 
     def function(table: pa.Table) -> pa.Table:
@@ -165,18 +168,23 @@ def greedy(rows: DataFrame, ordinal: str, size: str, limit: int, into: str, bloc
     def numbered(table: pa.Table, start: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))],
-                            names=["cut_block", "first_cut", "starts"])
+                            names=["cut_part", "first_cut", "starts"])
         table = table.sort_by("o")
-        own = cut_rows(table.column("s").to_numpy(), limit, start.column("open")[0].as_py())
-        at = table.column("o").to_numpy()[np.flatnonzero(np.diff(own)) + 1]
-        return pa.table({"cut_block": table.column("block")[:1], "first_cut": start.column("first")[:1],
-                         "starts": pa.array([at.tolist()], pa.list_(pa.int64()))})
+        own = cut_rows(table.column("s").to_numpy(), limit, start.column("open")[0].as_py()) + start.column("first")[0].as_py()
+        o = table.column("o").to_numpy()
+        parts = o // block_rows * PARTS + o % block_rows // part_rows
+        begin = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
+        # those at a part's first row are in its first cut
+        at = np.setdiff1d(np.flatnonzero(np.diff(own)) + 1, begin, assume_unique=True)
+        offsets = np.searchsorted(at, np.append(begin, len(o))).astype(np.int32)
+        return pa.table({"cut_part": pa.array(parts[begin]), "first_cut": pa.array(own[begin]),
+                         "starts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(o[at], pa.int64()))})
 
     told = (blocks.groupBy("block").cogroup(starts.groupBy("block"))
-            .applyInArrow(numbered, "cut_block long, first_cut long, starts array<long>"))
-    told = F.broadcast(told) if n_blocks + n_cuts <= SMALL else told
+            .applyInArrow(numbered, "cut_part long, first_cut long, starts array<long>"))
+    told = F.broadcast(told) if n_blocks * PARTS + n_cuts <= SMALL else told
     own = F.size(F.filter("starts", lambda s: s <= F.col(ordinal)))
-    return rows.join(told, block == F.col("cut_block")).select(*rows.columns, (F.col("first_cut") + own).alias(into))
+    return rows.join(told, part == F.col("cut_part")).select(*rows.columns, (F.col("first_cut") + own).alias(into))
 
 
 def greedy_within(rows: DataFrame, group: str, order: list[str], size: str, limit: int, into: str) -> DataFrame:

@@ -8,29 +8,42 @@ they include the sequence number, so a key with very many versions is split too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PER_RANGE = 32
 
 
+def looked_up(rows: DataFrame, bounds: list, kind: str, **at: Column) -> DataFrame:
+    """``rows`` with a column for each of ``at``: how many of the sorted ``bounds`` are at or before it, in two steps of some root of their number."""
+    if not bounds:
+        return rows.select(*rows.columns, *(F.lit(0).alias(name) for name in at))
+    step = max(1, round(len(bounds) ** 0.5))
+    edges = rows.sparkSession.createDataFrame([(bounds, bounds[step - 1::step])], f"edges array<{kind}>, coarse array<{kind}>")
+
+    def own(x):
+        near = F.size(F.filter("coarse", lambda e: e <= x)) * step
+        return near + F.size(F.filter(F.slice("edges", near + 1, step), lambda e: e <= x))
+
+    return rows.crossJoin(F.broadcast(edges)).select(*rows.columns, *(own(x).alias(name) for name, x in at.items()))  # one row
+
+
 def _ranged(log: DataFrame, ranges: int | None) -> DataFrame:
-    """The log with ``range``: how many boundaries are at or before the entry, looked up in two steps of some root of their number."""
+    """The log with ``range``: how many boundaries are at or before the entry."""
     spark = log.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.struct(F.col("key"), (-F.col("seq")).alias("age"))
     sample = (log.select(at.alias("at"), F.xxhash64("key", "seq").alias("h")).orderBy("h").limit(n * _PER_RANGE)
               .agg(F.sort_array(F.collect_list("at")).alias("at")).first().at)
     bounds = [(b.key, b.age) for b in sample[_PER_RANGE::_PER_RANGE]]
-    if not bounds:
-        return log.withColumn("range", F.lit(0))
-    step = max(1, round(len(bounds) ** 0.5))
-    kind = "array<struct<key:string,age:long>>"
-    edges = spark.createDataFrame([(bounds, bounds[step - 1::step])], f"edges {kind}, coarse {kind}")
-    before = lambda e: e <= at
-    near = F.size(F.filter("coarse", before)) * step
-    own = near + F.size(F.filter(F.slice("edges", near + 1, step), before))
-    return log.crossJoin(F.broadcast(edges)).select(*log.columns, own.alias("range"))  # one row
+    return looked_up(log, bounds, "struct<key:string,age:long>", range=at)
+
+
+def key_bounds(keys: DataFrame, ranges: int) -> list[str]:
+    """Boundaries that deal distinct ``keys`` to ``ranges`` of about the same size, from a bounded sample."""
+    sample = (keys.where("key is not null").select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(ranges * _PER_RANGE)
+              .agg(F.sort_array(F.collect_list("key")).alias("at")).first().at)
+    return sample[_PER_RANGE::_PER_RANGE]
 
 
 def _inside():

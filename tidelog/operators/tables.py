@@ -8,10 +8,16 @@ from pyspark.sql import Window
 
 from tidelog.functions.entries import entry_bytes, payload_bytes
 from tidelog.model import DELETED, FOUND, NOT_FOUND, PUT
+from tidelog.operators import ordering
 from tidelog.operators.cuts import greedy, greedy_within
+from tidelog.sources import folders
 
 #: Catalogue rows (files, not data) up to which the catalogue is broadcast.
 SMALL_CATALOGUE = 200_000
+#: Ranges of keys in which files are looked up.
+KEY_RANGES = 256
+#: Pairs of a key and a file for each task of such a lookup, and most tasks.
+PAIRS, MOST_TASKS = 2_000_000, 1024
 _OFFSET_BYTES, _TRAILER_BYTES = 16, 16
 
 
@@ -69,19 +75,33 @@ def tiers(cut: DataFrame) -> DataFrame:
     return cut.crossJoin(F.broadcast(last)).withColumn("tier", tier).drop("last")
 
 
-def _side(files: DataFrame) -> DataFrame:
-    return F.broadcast(files) if files.count() <= SMALL_CATALOGUE else files
+def covering(keys: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
+    """``keys``, which are distinct, joined with the files whose key range covers them.
+
+    Keys are dealt to ranges and a file to all ranges that it meets, so a key is
+    compared with the files of its range: those that cover the whole range, which
+    are results, and those that begin or end in it.  Files are broadcast when they
+    are counted to be few.
+    """
+    keys, files = folders.written(keys), folders.written(files)
+    bounds = ordering.key_bounds(keys, KEY_RANGES)
+    # keys are few bytes, yet each may meet many files: as many tasks as pairs ask for
+    tasks = min(max(keys.count() * files.count() // PAIRS, 1), MOST_TASKS)
+    placed = ordering.looked_up(keys.repartition(tasks, "key"), bounds, "string", key_range=F.col("key"))
+    met = (ordering.looked_up(files, bounds, "string", first=F.col("smallest_key"), last=F.col("largest_key"))
+           .select(*files.columns, F.explode(F.sequence("first", "last")).alias("file_range")))
+    met = F.broadcast(met) if met.count() <= SMALL_CATALOGUE else met
+    covers = (F.col("key_range") == F.col("file_range")) & F.col("key").between(F.col("smallest_key"), F.col("largest_key"))
+    return placed.join(met, covers, how).drop("key_range", "file_range")
 
 
 def candidates(probes: DataFrame, files: DataFrame) -> DataFrame:
     """(key, sst_id, level) of the files whose key range covers a probe key; the rest are never opened.
 
-    ``files`` is a catalogue, broadcast when it is counted to be small; levels
-    beyond 0 do not overlap, so they give one file a key.
+    Levels beyond 0 do not overlap, so they give one file a key.
     """
-    own = _side(files.select("sst_id", "level", "smallest_key", "largest_key"))
-    return (probes.select("key").distinct().join(own, F.col("key").between(F.col("smallest_key"), F.col("largest_key")))
-            .select("key", "sst_id", "level"))
+    own = files.select("sst_id", "level", "smallest_key", "largest_key")
+    return covering(probes.select("key").distinct(), own).select("key", "sst_id", "level")
 
 
 def tiered_get(tiered: DataFrame, probes: DataFrame) -> DataFrame:
