@@ -7,6 +7,12 @@ nothing.  A writer whose number was taken by another one gets ``Busy`` before it
 writes, and must open the store anew.  Files of an unfinished commit are invisible;
 its claim keeps others out until the store is opened with ``recover``.
 
+Files are folders of Parquet files, named by their number.  Where memtables are far
+smaller than ``PACK_BYTES``, consecutive files of an edit share the folder named by
+the first number that may be in it, and its rows say which file they are of
+(``file_id``); it is deleted when none of its files is referred to.  So the number of
+folders follows the bytes, not the memtables.
+
 What was put is written once to a shared scratch folder and flushed when it fills
 the memtables of a batch; what was put but not flushed is lost when the store is
 closed, as there is no write-ahead log.
@@ -14,16 +20,27 @@ closed, as there is no write-ahead log.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.entries import payload_bytes
-from tidelog.model import EDIT, LOG, Config
+from tidelog.model import EDIT, LOG, MIB, Config
 from tidelog.operators import compaction, ordering, reads, tables, writes
 from tidelog.sources import folders, manifest
 
 
+#: Bytes of files that share a folder; a file of as many has its own.
+PACK_BYTES = 32 * MIB
+#: Runs of file numbers up to which they are a filter that reaches the scan.
+RUNS = 100
+_STORED = LOG + ", file_id long"
+
+
 class Busy(RuntimeError):
     """Another writer has taken the next edit."""
 
@@ -67,10 +84,38 @@ class Store:
 
     def _read(self, files: DataFrame) -> DataFrame:
         """The rows of some catalogue rows."""
-        paths = sorted(f"{self.path}/data/edit={r.edit_id}/sst_id={r.sst_id}" for r in files.select("edit_id", "sst_id").distinct().collect())
-        if not paths:
+        wanted = [(r.edit_id, r.sst_id) for r in files.select("edit_id", "sst_id").distinct().collect()]
+        if not wanted:
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(*paths)
+        rows = self.spark.read.schema(_STORED).parquet(*sorted(self._folders(wanted)))
+        runs: list[list[int]] = []
+        for i in sorted(i for _, i in wanted):
+            if runs and i == runs[-1][1] + 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        file_id = F.col("file_id")
+        if len(runs) <= RUNS:
+            # a folder without numbers is one file
+            rows = rows.where(reduce(Column.__or__, (file_id.between(a, b) for a, b in runs), file_id.isNull()))
+        else:
+            own = self.spark.createDataFrame([(i,) for _, i in wanted], "own long")
+            rows = rows.join(own, F.coalesce(file_id, F.lit(wanted[0][1])) == F.col("own"), "left_semi")
+        return rows.drop("file_id")
+
+    def _folders(self, files: list[tuple]) -> dict[str, list[int]]:
+        """The folders that hold some files (edit, number), each with those numbers."""
+        by_edit, out = defaultdict(list), defaultdict(list)
+        for edit, i in files:
+            by_edit[edit].append(i)
+        for edit, own in by_edit.items():
+            folder = f"{self.path}/data/edit={edit}"
+            starts = sorted(int(n.removeprefix("sst_id=")) for n in folders.names(self.spark, folder) if n.startswith("sst_id="))
+            for i in own:
+                at = bisect_right(starts, i)
+                if at:  # else it was vacuumed
+                    out[f"{folder}/sst_id={starts[at - 1]}"].append(i)
+        return out
 
     def _write(self, rows: DataFrame, file_no: str, level: int) -> list[tuple]:
         """Sorted files of ``rows`` by ``file_no`` in the folder of this edit; their catalogue entries, read back from it.
@@ -78,13 +123,15 @@ class Store:
         What an unfinished commit left there is overwritten.
         """
         folder = f"{self.path}/data/edit={self.edit_id}"
-        own = rows.select("key", "value", "op", "seq", (F.col(file_no) + self.next_id).alias("sst_id"))
-        own = own.repartition("sst_id").sortWithinPartitions("sst_id", "key", F.desc("seq"))
+        own = rows.select("key", "value", "op", "seq", (F.col(file_no) + self.next_id).cast("long").alias("file_id"))
+        together = max(1, PACK_BYTES // self.config.memtable_bytes)
+        own = own.withColumn("sst_id", F.floor(F.col("file_id") / together) * together)
+        own = own.repartition("sst_id").sortWithinPartitions("sst_id", "file_id", "key", F.desc("seq"))
         own.write.mode("overwrite").partitionBy("sst_id").parquet(folder)
         if not any(n.startswith("sst_id=") for n in folders.names(self.spark, folder)):
             return []
-        written = self.spark.read.schema(LOG + ", sst_id long").parquet(folder)
-        files = tables.catalogue(written, "sst_id").orderBy("sst_id").collect()
+        written = self.spark.read.schema(_STORED).parquet(folder)
+        files = sorted(tables.catalogue(written, "file_id").collect(), key=lambda f: f.sst_id)
         self.next_id = max(f.sst_id for f in files) + 1
         return [(int(f.sst_id), level, f.n_bytes, f.smallest_key, f.largest_key) for f in files]
 
@@ -156,18 +203,23 @@ class Store:
     def vacuum(self, retained_from: int | None = None) -> list[int]:
         """Delete files that no version from ``retained_from`` (the newest if not given) refers to, and what unfinished commits left.
 
-        Returns the numbers of the former.
+        Returns the numbers of the former.  Those that share a folder with a file that is referred to stay in it
+        until a vacuum finds none such.
         """
         gone = manifest.obsolete(self.edits(), self.edit_id - 1 if retained_from is None else retained_from)
-        rows = sorted((r.sst_id, r.edit_id) for r in gone.select("sst_id", "edit_id").distinct().collect())
-        for i, e in rows:
-            folders.delete(self.spark, f"{self.path}/data/edit={e}/sst_id={i}")
+        rows = {(r.edit_id, r.sst_id) for r in gone.select("sst_id", "edit_id").distinct().collect()}
+        edits = sorted({e for e, _ in rows})
+        beside = manifest.added(self.edits().where(F.col("edit_id").isin(edits))).select("edit_id", "sst_id").collect()
+        for folder, own in self._folders([tuple(r) for r in beside]).items():
+            edit = int(folder.rsplit("/", 2)[1].removeprefix("edit="))
+            if all((edit, i) in rows for i in own):
+                folders.delete(self.spark, folder)
         known = {f"edit={r.edit_id}" for r in self.edits().select("edit_id").distinct().collect()}
         claimed = {f"edit={n}" for n in folders.names(self.spark, f"{self.path}/claims")}
         for name in folders.names(self.spark, f"{self.path}/data"):
             if name.startswith("edit=") and name not in known | claimed:
                 folders.delete(self.spark, f"{self.path}/data/{name}")
-        return [i for i, _ in rows]
+        return sorted(i for _, i in rows)
 
     # -- reading -----------------------------------------------------------
 
