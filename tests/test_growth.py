@@ -52,3 +52,13 @@ def test_files_are_looked_up_by_range(spark):
     # keys and files meet by an equality; a range alone compares each key with each file
     conditions = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "smallest_key" in line]
     assert conditions and all("key_range" in line for line in conditions)
+
+
+def test_windows_do_not_carry_the_text(spark):
+    from tidelog.llm import decontam
+    docs = spark.createDataFrame([(1, "one two Three four five 6 seven eight nine"), (2, "short"), (3, None)], "doc_id long, text string")
+    side = decontam._side(docs, "doc_id", "text", [8])
+    assert sorted(r.at for r in side.collect()) == [0, 0, 1, 1] and {r.key for r in side.collect()} == {1}
+    # what Spark compiles and what keeps no array in its rows
+    line = [x for x in side._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate" in x]
+    assert len(line) == 1 and "[key#" in line[0] and "v#" not in line[0]

@@ -87,8 +87,9 @@ def _side(table: DataFrame, key: str, text: str, widths: list[int]) -> DataFrame
     each = both.select("key", F.explode(every).alias("v")).where("v.c is not null") if len(widths) > 1 else both.select(
         "key", F.struct(F.col(f"c{widths[0]}").alias("c"), F.col(f"f{widths[0]}").alias("f")).alias("v"))
     c, f = F.col("v.c"), F.col("v.f")
-    each = each.select("key", F.size(c).alias("n"), F.posexplode(
-        F.concat(c, F.zip_with(c, f, lambda a, b: F.when(a != b, b)))).alias("at", "hash"))
+    # a column of its own, as rows would keep ``v`` else, and a text cost the square of its length; outer, as Spark would filter by its size else and compute it twice
+    each = (each.select("key", F.size(c).alias("n"), F.concat(c, F.zip_with(c, f, lambda a, b: F.when(a != b, b))).alias("every"))
+            .select("key", "n", F.posexplode_outer("every").alias("at", "hash")))
     return each.where("hash is not null").select("key", (F.col("at") % F.col("n")).alias("at"), "hash")
 
 
